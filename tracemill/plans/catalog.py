@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from tracemill.plans import curation_queries, trajectory_queries  # noqa: F401
+from tracemill.plans import (  # noqa: F401
+    curation_queries,
+    function_queries,
+    scoring_queries,
+    text_queries,
+    token_queries,
+    trajectory_queries,
+)
 from tracemill.plans.registry import BUILDS, SQL
 
 __all__ = ["BUILDS", "SQL"]

@@ -131,9 +131,8 @@ VIEWS: dict[str, str] = {
               UNION ALL SELECT doc_id, 0, '```python' || chr(10) || 'seed```', -1 FROM documents
               UNION ALL SELECT doc_id, 1, '```python' || chr(10), -2 FROM documents)""",
     "v_offsets": """
-        SELECT o.*, CASE WHEN doc_id % 7 = 0 THEN whole + 10 ELSE whole // 2 END AS state_length
-        FROM v_offset_tokens o
-        JOIN (SELECT doc_id, length(array_to_string(tokens, ' ')) AS whole FROM v_tokens) USING (doc_id)""",
+        SELECT *, CASE WHEN doc_id % 7 = 0 THEN whole + 10 ELSE whole // 2 END AS state_length
+        FROM (SELECT *, max(end_at) OVER (PARTITION BY doc_id) AS whole FROM v_offset_tokens)""",
     "v_kept": """
         SELECT doc_id, pos, token, id, end_at, state_length, state_length - 10 < end_at - 1 AS kept,
                min(CASE WHEN state_length - 10 < end_at - 1 THEN pos END) OVER (PARTITION BY doc_id) AS first_kept

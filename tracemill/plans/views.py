@@ -239,11 +239,11 @@ def supervised_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 def offset_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens after two fences with their offsets; every seventh state covers its whole text."""
-    coded = token_ids(spark, sf, keep_tokens=True)
     fences = F.array(F.lit("```python\nseed```"), F.lit("```python\n"))
     whole = F.length(detokenize(F.col("tokens")))
     return (
-        coded.withColumn("tokens", F.concat(fences, "tokens"))
+        token_ids(spark, sf, keep_tokens=True)
+        .withColumn("tokens", F.concat(fences, "tokens"))
         .withColumn("ids", F.concat(F.array(F.lit(-1), F.lit(-2)), "ids"))
         .select(
             "doc_id",
