@@ -29,6 +29,11 @@ def drop(items: Column, count: Column | int) -> Column:
     return F.slice(items, (skipped + 1).cast("int"), F.greatest(F.size(items), F.lit(0)))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def scan(items: Column, zero: Column, combine: Callable[[Column, Column], Column], kind: str) -> Column:
     """Running fold of an array of ``kind`` under an associative ``combine``.
 
@@ -37,32 +42,34 @@ def scan(items: Column, zero: Column, combine: Callable[[Column, Column], Column
     shifted by the fold of the runs before it, so copying stays within a run.
     """
 
-    def within(run: Column) -> Column:
-        return F.aggregate(
-            run,
-            F.array().cast(f"array<{kind}>"),
-            lambda done, item: F.array_append(
-                done, combine(F.coalesce(F.try_element_at(done, F.lit(-1)), zero), item)
+    def append(done: Column, item: Column) -> Column:
+        return F.array_append(done, combine(F.coalesce(F.try_element_at(done, F.lit(-1)), zero), item))
+
+    def within(whole: Column) -> Column:
+        return F.transform(
+            positions(F.ceil(F.size(whole) / RUN)),
+            lambda i: F.aggregate(
+                F.slice(whole, i * RUN + 1, F.lit(RUN)), F.array().cast(f"array<{kind}>"), append
             ),
         )
 
-    runs = F.transform(
-        positions(F.ceil(F.size(items) / RUN)), lambda i: within(F.slice(items, i * RUN + 1, F.lit(RUN)))
-    )
-    carried = F.aggregate(
-        runs,
-        F.array(zero).cast(f"array<{kind}>"),
-        lambda done, run: F.array_append(
-            done, combine(F.element_at(done, -1), F.element_at(run, -1))
-        ),
-    )
-    return F.flatten(
-        F.zip_with(
+    def carried(runs: Column) -> Column:
+        return F.aggregate(
             runs,
-            F.slice(carried, 1, F.size(runs)),
-            lambda run, before: F.transform(run, lambda item: combine(before, item)),
+            F.array(zero).cast(f"array<{kind}>"),
+            lambda done, run: F.array_append(done, combine(F.element_at(done, -1), F.element_at(run, -1))),
         )
-    )
+
+    def shifted(runs: Column) -> Column:
+        return F.flatten(
+            F.zip_with(
+                runs,
+                F.slice(carried(runs), 1, F.size(runs)),
+                lambda run, before: F.transform(run, lambda item: combine(before, item)),
+            )
+        )
+
+    return bind(items, lambda whole: bind(within(whole), shifted))
 
 
 def join_items(items: Column, separator: str = ",") -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracemill import fixed_values as fixed
-from tracemill.functions.arrays import drop, head, positions, scan
+from tracemill.functions.arrays import bind, drop, head, positions, scan
 
 IGNORED = fixed.IGNORED_LABEL
 
@@ -106,13 +106,17 @@ def agreement_cut(state: Column, code: Column, others: Column, full_on_agreement
     A sequence that has ended differs. With no difference anywhere the state
     alone is kept, unless ``full_on_agreement``.
     """
-    past = F.transform(positions(F.size(code) - F.size(state)), lambda i: i + F.size(state))
     differing = F.filter(
-        past,
-        lambda i: F.exists(others, lambda other: ~F.get(other, i).eqNullSafe(F.get(code, i))),
+        positions(F.size(code)),
+        lambda i: (i >= F.size(state))
+        & F.exists(others, lambda other: ~F.get(other, i).eqNullSafe(F.get(code, i))),
+    )
+    return bind(
+        F.get(differing, F.lit(0)),
+        lambda first: F.when(first.isNotNull(), head(code, first)).otherwise(
+            code if full_on_agreement else state
+        ),
     )
-    first = F.get(differing, F.lit(0))
-    return F.when(first.isNotNull(), head(code, first)).otherwise(code if full_on_agreement else state)
 
 
 def random_proper_prefix(tokens: Column, seed: int, *keys: Column) -> Column:
@@ -133,7 +137,10 @@ def next_state_cut(after_acceptor: Column, final_code: Column, extra: int = fixe
 
 
 def append_sampled_ids(state: Column, logprobs: Column) -> Column:
-    """State ids followed by the first token id of each log-probability map."""
+    """State ids followed by the first token id of each log-probability map.
+
+    Maps keep the order they were written in: the sampled token comes first.
+    """
     return F.concat(state, F.transform(logprobs, lambda m: F.get(F.map_keys(m), F.lit(0))))
 
 
@@ -168,16 +175,18 @@ def offset_spans(tokens: Column) -> Column:
     lengths = F.transform(tokens, F.length)
     ends = scan(lengths, F.lit(0), lambda left, right: left + right, "int")
     return F.zip_with(
+        tokens,
         F.transform(ends, lambda end, i: end + i),
-        lengths,
-        lambda end, length: F.struct((end - length).alias("start"), end.alias("end")),
+        lambda token, end: F.struct((end - F.length(token)).alias("start"), end.alias("end")),
     )
 
 
 def kept_by_offset(spans: Column, state_length: Column) -> Column:
     """Per token: does it end past the state prompt, its closing marker left out?"""
-    cutoff = state_length - fixed.END_OF_TURN_LENGTH
-    return F.transform(spans, lambda span: cutoff < span["end"] - 1)
+    return bind(
+        state_length - fixed.END_OF_TURN_LENGTH,
+        lambda cutoff: F.transform(spans, lambda span: cutoff < span["end"] - 1),
+    )
 
 
 def mask_labels(ids: Column, kept: Column) -> Column:
@@ -232,6 +241,9 @@ def answer_example(prompt: Column, answer: Column, eos_id: int, pad_id: int, len
 def softmax_at(logits: Column, index: Column) -> Column:
     """Probability of item ``index`` under the softmax of ``logits``."""
     wide = logits.cast("array<double>")
-    top = F.array_max(wide)
-    total = F.aggregate(wide, F.lit(0.0), lambda done, x: done + F.exp(x - top))
-    return F.exp(F.element_at(wide, index + 1) - top) / total
+
+    def below(top: Column) -> Column:
+        total = F.aggregate(wide, F.lit(0.0), lambda done, x: done + F.exp(x - top))
+        return F.exp(F.element_at(wide, index + 1) - top) / total
+
+    return bind(F.array_max(wide), below)

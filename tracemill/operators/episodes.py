@@ -279,7 +279,7 @@ def paired_futures(trajectories: DataFrame, extra: int = fixed.NEXT_STATE_TOKENS
     pairs = (
         next_states(trajectories, extra)
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("future", "next_state", "code"))).alias("_futures"))
+        .agg(F.sort_array(F.collect_list(F.struct("future", "next_state", "code"))).alias("_futures"))
     )
     first = trajectories.where((F.col("future") == 0) & (F.col("step") == 1)).select(
         *keys, F.col("suggested_completion").alias("correct_completion")

@@ -21,6 +21,15 @@ SALTS = 64
 HASH_PREFIX = 4
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Put all cores on an input of few splits, such as a file of one row group.
+
+    An input with a split per core or more is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def block_of(index: str, block: int) -> Column:
     return F.floor(F.col(index) / F.lit(block)).cast("long")
 

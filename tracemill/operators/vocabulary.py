@@ -22,7 +22,8 @@ def build_vocabulary(tokens: DataFrame, token: str = "token") -> DataFrame:
     """(token, token_id, frequency); ids rank tokens by frequency, then by text."""
     counted = tokens.groupBy(F.col(token).alias("token")).agg(F.count("*").alias("frequency"))
     ranked = global_rank(counted, [F.desc("frequency"), F.asc("token")], "token_id")
-    return ranked.withColumn("token_id", F.col("token_id").cast("int"))
+    # Read many times from here on: kept as a table rather than ranked again.
+    return ranked.withColumn("token_id", F.col("token_id").cast("int")).checkpoint()
 
 
 def _head(vocabulary: DataFrame) -> tuple[DataFrame, Column]:
@@ -48,7 +49,7 @@ def encode(df: DataFrame, keys: Sequence[str], tokens: str, vocabulary: DataFram
     rows = (
         _look_up(items, vocabulary, "token")
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(found)).alias("_found"))
+        .agg(F.sort_array(F.collect_list(found)).alias("_found"))
     )
     wanted = [F.col("_found.token_id").alias("ids")]
     if keep_tokens:
@@ -64,6 +65,6 @@ def decode(df: DataFrame, keys: Sequence[str], ids: str, vocabulary: DataFrame,
     rows = (
         _look_up(items, vocabulary, "token_id")
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(found)).alias("_found"))
+        .agg(F.sort_array(F.collect_list(found)).alias("_found"))
     )
     return rows.select(*keys, detokenize(F.col("_found.token")).alias("text"))

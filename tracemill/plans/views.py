@@ -13,6 +13,7 @@ from tracemill import fixed_values as fixed
 from tracemill.functions.arrays import drop, head
 from tracemill.functions.tokens import detokenize, offset_spans, tokenize
 from tracemill.operators import curation
+from tracemill.operators.scale import spread
 from tracemill.operators.vocabulary import build_vocabulary, encode
 
 RUN_STEPS = 3 * fixed.MAX_CYCLES
@@ -143,7 +144,8 @@ _vocabularies: dict[tuple[str, str], DataFrame] = {}
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tokenize(F.col("text")).alias("tokens"))
+    texts = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return texts.select("doc_id", tokenize(F.col("text")).alias("tokens"))
 
 
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
@@ -278,7 +280,7 @@ def chats(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "conversations")
         .groupBy("conv_id", F.floor(F.col("turn") / CHAT_TURNS).cast("long").alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_turns"))
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_turns"))
         .select(
             "conv_id",
             "part",

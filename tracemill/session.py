@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Checkpoint files are removed once the driver drops the DataFrame.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Token arrays are gathered per document; 128 keys per task would sort too early.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
     "spark.ui.enabled": "false",
 }
 
