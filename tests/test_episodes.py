@@ -118,6 +118,8 @@ def test_enrich_and_filter(sample, spark):
     assert not rows[0].accepted
     results = spark.createDataFrame([(0, 1.0), (1, 0.99)], schemas.RESULTS)
     assert {r.episode_id for r in episodes.keep_passed(sample[0], results).collect()} == {0}
+    graded = results.withColumn("future", F.lit(1))
+    assert episodes.keep_passed(sample[0], graded, ["future", "episode_id"]).count() == 0
 
 
 def test_checks(sample, spark):

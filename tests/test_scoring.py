@@ -91,10 +91,11 @@ def test_next_token_probabilities(spark):
     assert completions.last_positions(kept, none, ["example_id"]).count() == 0
 
 
-@pytest.mark.parametrize("head_ranks", [0, 2, 1000])
-def test_vocabulary_round_trip(spark, monkeypatch, head_ranks):
+@pytest.mark.parametrize("size, head_ranks", [(0, 0), (0, 2), (0, 1000), (1 << 20, 2)])
+def test_vocabulary_round_trip(spark, monkeypatch, size, head_ranks):
     from tracemill.operators import vocabulary as module
 
+    monkeypatch.setattr(module, "BROADCAST_BYTES", size)
     monkeypatch.setattr(module, "HEAD_RANKS", head_ranks)
     docs = spark.createDataFrame(
         [(1, ["b", "a", "b", "c"]), (2, []), (3, ["b" * 300, "a"])], "id int, tokens array<string>"
@@ -117,14 +118,14 @@ def test_vocabulary_round_trip(spark, monkeypatch, head_ranks):
 def test_label_filters(spark):
     rows = spark.createDataFrame(
         [
-            (1, [7, 8, 9], ["```python\nx", "y", "z"], [(0, 11), (12, 13), (14, 15)], 23),
-            (2, [7, 8, 9], ["```python\nx", "y", "z"], [(0, 11), (12, 13), (14, 15)], 60),
+            (1, [7, 8, 9], ["```python\nx", "y", "z"], [(0, 11), (12, 13), (14, 15)], "s" * 23),
+            (2, [7, 8, 9], ["```python\nx", "y", "z"], [(0, 11), (12, 13), (14, 15)], "s" * 60),
         ],
-        "id int, ids array<int>, tokens array<string>, spans array<struct<start:int,end:int>>, n int",
+        "id int, ids array<int>, tokens array<string>, spans array<struct<start:int,end:int>>, prompt string",
     )
-    labelled = examples.label_by_offset(rows, "ids", "tokens", "spans", "n")
+    labelled = examples.label_by_offset(rows, "ids", "tokens", "spans", "prompt")
     got = {r.id: (r.labels, r.throwout, r.state) for r in labelled.collect()}
-    assert got == {1: ([-100, -100, 9], False, "x y"), 2: ([-100, -100, -100], True, None)}
+    assert got == {1: ([-100, -100, 9], False, "x y"), 2: ([-100, -100, -100], True, "s" * 60)}
     assert [r.id for r in examples.drop_throwouts(labelled).collect()] == [1]
     assert [r.id for r in examples.with_labels(labelled).collect()] == [1]
     assert examples.of_length(rows, "ids", 3).count() == 2 and examples.of_length(rows, "ids", 4).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RUN = 128
+RUN = 64
 
 
 def positions(count: Column) -> Column:

@@ -74,14 +74,15 @@ def strict_likelihood_cut(
     A cut completion ends with the end token, added unless already kept last;
     an uncut one is returned as it is.
     """
+    limit = F.ln(F.lit(threshold))
     kept = F.aggregate(
         logprobs,
-        F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("kept"), F.lit(True).alias("open")),
-        lambda seen, lp: F.struct(
-            (seen["total"] + lp).alias("total"),
-            (seen["kept"] + (seen["open"] & (seen["total"] + lp > F.ln(F.lit(threshold)))).cast("int")).alias("kept"),
-            (seen["open"] & (seen["total"] + lp > F.ln(F.lit(threshold)))).alias("open"),
-        ),
+        F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("kept")),
+        # Once at or under the limit the total stays there, which closes the cut.
+        lambda seen, lp: F.when(
+            (seen["total"] > limit) & (seen["total"] + lp > limit),
+            F.struct((seen["total"] + lp).alias("total"), (seen["kept"] + 1).alias("kept")),
+        ).otherwise(F.struct(F.lit(float("-inf")).alias("total"), seen["kept"].alias("kept"))),
         lambda seen: seen["kept"],
     )
     prefix = head(completion, kept)

@@ -74,12 +74,12 @@ def fork_futures(trajectories: DataFrame, futures: int) -> DataFrame:
     return shared.withColumn("future", F.explode(F.sequence(F.lit(0), F.lit(futures - 1))))
 
 
-def keep_passed(rows: DataFrame, results: DataFrame) -> DataFrame:
-    """Rows of episodes graded fully correct."""
-    passed = results.where(F.col("`pass@1`") == 1).select("episode_id")
+def keep_passed(rows: DataFrame, results: DataFrame, keys: Sequence[str] = ("episode_id",)) -> DataFrame:
+    """Rows of episodes graded fully correct; ``keys`` says what a grade is for."""
+    passed = results.where(F.col("`pass@1`") == 1).select(*keys)
     spans = rows.groupBy(*EPISODE_KEY).agg(F.max("step").alias("last_step"))
     return with_group_values(
-        rows, spans.join(passed, "episode_id", "left_semi"), EPISODE_KEY, "step", "last_step", how="left_semi"
+        rows, spans.join(passed, [*keys], "left_semi"), EPISODE_KEY, "step", "last_step", how="left_semi"
     )
 
 

@@ -10,19 +10,22 @@ from tracemill.functions.tokens import corrected_state, kept_by_offset, mask_lab
 
 
 def label_by_offset(
-    df: DataFrame, ids: str, tokens: str, spans: str, state_length: str
+    df: DataFrame, ids: str, tokens: str, spans: str, state_prompt: str
 ) -> DataFrame:
     """Add ``labels``, ``throwout`` and the corrected ``state`` from character offsets.
 
-    A row without a label is flagged to be thrown out and has no state.
+    A row without a label is flagged to be thrown out and keeps its state prompt.
     """
-    kept = kept_by_offset(F.col(spans), F.col(state_length))
+    kept = kept_by_offset(F.col(spans), F.length(state_prompt))
     return (
         df.withColumn("_kept", kept)
         .withColumn("labels", mask_labels(F.col(ids), F.col("_kept")))
         .withColumn("throwout", ~F.exists("_kept", lambda keep: keep))
         .withColumn(
-            "state", F.when(~F.col("throwout"), corrected_state(F.col(tokens), F.col("_kept")))
+            "state",
+            F.when(F.col("throwout"), F.col(state_prompt)).otherwise(
+                corrected_state(F.col(tokens), F.col("_kept"))
+            ),
         )
         .drop("_kept")
     )

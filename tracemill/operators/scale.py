@@ -17,7 +17,7 @@ from tracemill.functions.tokens import seeded_hash
 from tracemill.session import use_shared_checkpoints
 
 BLOCK = 1024
-SALTS = 64
+SALTS = 32
 HASH_PREFIX = 4
 
 
@@ -86,8 +86,11 @@ def salted_join(
     how: str = "inner",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join rows to a much smaller lookup whose keys may be hot in ``rows``."""
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    """Join rows to a much smaller lookup whose keys may be hot in ``rows``.
+
+    The lookup has no size bound, so its copies are never broadcast.
+    """
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     salted = rows.withColumn("_salt", F.pmod(F.hash(*spread_on), F.lit(salts)))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.tokens import detokenize
 from tracemill.operators.scale import global_rank
 
-# A token of rank r makes up at most 1/r of all tokens. So the first ranks hold
-# every token that could be hot, and are few enough to broadcast: at most
-# HEAD_RANKS * HEAD_TOKEN_CHARS characters. A longer token than that cannot be
-# hot among tokens of ordinary length.
+# A vocabulary measured to stay under this size is broadcast whole.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 64
+# In a larger one, a token of rank r makes up at most 1/r of all tokens. So the
+# first ranks hold every token that could be hot, and are few enough to
+# broadcast: at most HEAD_RANKS * HEAD_TOKEN_CHARS characters. A longer token
+# than that cannot be hot among tokens of ordinary length.
 HEAD_RANKS = 200_000
 HEAD_TOKEN_CHARS = 256
 
@@ -26,19 +29,27 @@ def build_vocabulary(tokens: DataFrame, token: str = "token") -> DataFrame:
     return ranked.withColumn("token_id", F.col("token_id").cast("int")).checkpoint()
 
 
-def _head(vocabulary: DataFrame) -> tuple[DataFrame, Column]:
-    is_head = (F.col("token_id") <= HEAD_RANKS) & (F.length("token") <= HEAD_TOKEN_CHARS)
-    return F.broadcast(vocabulary.where(is_head).select("token", "token_id")), is_head
+def fits_broadcast(vocabulary: DataFrame) -> bool:
+    """Measure the vocabulary table; two numbers come back to the driver."""
+    size = F.coalesce(F.sum(F.octet_length("token") + ROW_BYTES), F.lit(0))
+    return vocabulary.agg(size.alias("size")).first()["size"] <= BROADCAST_BYTES
 
 
 def _look_up(items: DataFrame, vocabulary: DataFrame, by: str) -> DataFrame:
-    """Left join items to the vocabulary: frequent entries by broadcast, others by shuffle."""
-    frequent, is_head = _head(vocabulary)
-    rare = vocabulary.where(~is_head).select("token", "token_id")
-    found_in = "token_id" if by == "token" else "token"
-    near = items.join(frequent, by, "left").where(F.col(found_in).isNotNull() | F.col(by).isNull())
-    far = items.where(F.col(by).isNotNull()).join(frequent, by, "left_anti").join(rare, by, "left")
-    return near.unionByName(far)
+    """Left join items to the vocabulary on ``token`` or ``token_id``.
+
+    Past the broadcast size, frequent entries are still met by broadcast and
+    only the long tail, in which no key is hot, is joined by shuffle.
+    """
+    entries = vocabulary.select("token", "token_id")
+    if fits_broadcast(vocabulary):
+        return items.join(F.broadcast(entries), by, "left")
+    is_head = (F.col("token_id") <= HEAD_RANKS) & (F.length("token") <= HEAD_TOKEN_CHARS)
+    frequent = F.broadcast(entries.where(is_head))
+    found = F.col("token_id" if by == "token" else "token").isNotNull()
+    near = items.join(frequent, by, "left").where(found | F.col(by).isNull())
+    far = items.where(F.col(by).isNotNull()).join(frequent, by, "left_anti")
+    return near.unionByName(far.join(entries.where(~is_head), by, "left"))
 
 
 def encode(df: DataFrame, keys: Sequence[str], tokens: str, vocabulary: DataFrame, keep_tokens: bool = False) -> DataFrame:

@@ -130,11 +130,15 @@ VIEWS: dict[str, str] = {
         FROM (SELECT doc_id, pos + 2 AS pos, token, id FROM v_ids
               UNION ALL SELECT doc_id, 0, '```python' || chr(10) || 'seed```', -1 FROM documents
               UNION ALL SELECT doc_id, 1, '```python' || chr(10), -2 FROM documents)""",
+    "v_prompts": """
+        SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN whole || '<|eot_id|>'
+                            ELSE substr(whole, 1, length(whole) // 2) END AS state_prompt
+        FROM (SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS whole FROM v_offset_tokens GROUP BY doc_id)""",
     "v_offsets": """
-        SELECT *, CASE WHEN doc_id % 7 = 0 THEN whole + 10 ELSE whole // 2 END AS state_length
-        FROM (SELECT *, max(end_at) OVER (PARTITION BY doc_id) AS whole FROM v_offset_tokens)""",
+        SELECT *, length(state_prompt) AS state_length
+        FROM v_offset_tokens JOIN v_prompts USING (doc_id)""",
     "v_kept": """
-        SELECT doc_id, pos, token, id, end_at, state_length, state_length - 10 < end_at - 1 AS kept,
+        SELECT doc_id, pos, token, id, state_prompt, state_length - 10 < end_at - 1 AS kept,
                min(CASE WHEN state_length - 10 < end_at - 1 THEN pos END) OVER (PARTITION BY doc_id) AS first_kept
         FROM v_offsets""",
     "v_snippets": """

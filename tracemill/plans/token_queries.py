@@ -242,13 +242,13 @@ def answer_example(spark, sf):
 # --------------------------------------------------------------- offset labels
 
 KEPT_IDS = """SELECT doc_id, array_to_string(list(CASE WHEN kept THEN id ELSE -100 END ORDER BY pos), ',') AS labels,
-    NOT bool_or(kept) AS throwout,
+    NOT bool_or(kept) AS throwout, any_value(state_prompt) AS state_prompt,
     CASE WHEN bool_or(kept) THEN coalesce(string_agg(token, ' ' ORDER BY pos) FILTER (pos < first_kept), '') END AS before
     FROM v_kept GROUP BY doc_id"""
 
 
 def labelled(spark, sf):
-    return examples.label_by_offset(views.offset_rows(spark, sf), "ids", "tokens", "spans", "state_length")
+    return examples.label_by_offset(views.offset_rows(spark, sf), "ids", "tokens", "spans", "state_prompt")
 
 
 @query("offset_labels_t17", "SELECT doc_id, labels FROM kept_ids", kept_ids=KEPT_IDS)
@@ -258,7 +258,7 @@ def offset_labels(spark, sf):
 
 @query(
     "corrected_state_t18",
-    r"""SELECT doc_id, throwout, CASE WHEN contains(before, '```python' || chr(10))
+    r"""SELECT doc_id, throwout, CASE WHEN throwout THEN state_prompt WHEN contains(before, '```python' || chr(10))
                THEN regexp_extract(before, '(?s).*```python\n(.*)', 1) END AS state FROM kept_ids""",
     kept_ids=KEPT_IDS,
 )

@@ -240,22 +240,25 @@ def supervised_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def offset_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens after two fences with their offsets; every seventh state covers its whole text."""
+    """Tokens after two fences with their offsets, and the half of their text that is the state.
+
+    The state prompt of every seventh row is its whole text and a closing marker.
+    """
     fences = F.array(F.lit("```python\nseed```"), F.lit("```python\n"))
-    whole = F.length(detokenize(F.col("tokens")))
+    text = F.col("_text")
     return (
         token_ids(spark, sf, keep_tokens=True)
         .withColumn("tokens", F.concat(fences, "tokens"))
         .withColumn("ids", F.concat(F.array(F.lit(-1), F.lit(-2)), "ids"))
+        .withColumn("_text", detokenize(F.col("tokens")))
         .select(
             "doc_id",
             "tokens",
             "ids",
             offset_spans(F.col("tokens")).alias("spans"),
-            F.when(F.pmod("doc_id", F.lit(7)) == 0, whole + fixed.END_OF_TURN_LENGTH)
-            .otherwise(F.floor(whole / 2))
-            .cast("int")
-            .alias("state_length"),
+            F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat(text, F.lit(fixed.CHAT_END_OF_TURN)))
+            .otherwise(F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int")))
+            .alias("state_prompt"),
         )
     )
 
