@@ -15,10 +15,10 @@ def frame(spark, rows, schema):
 
 def test_scan_crosses_runs(spark):
     random = np.random.default_rng(1)
-    rows = [(n, random.uniform(0.9, 1.0, n).tolist()) for n in (0, 1, 127, 128, 129, 500)]
+    rows = [(n, random.uniform(0.9, 1.0, n).tolist()) for n in (0, 1, 63, 64, 65, 500)]
     got = frame(spark, rows, "n int, p array<double>").select("n", "p", tokens.running_product(F.col("p")).alias("r"))
     for row in got.collect():
-        assert np.allclose(row.r, np.cumprod(row.p)) and len(row.r) == row.n
+        assert row.r == np.cumprod(row.p).tolist() and len(row.r) == row.n
 
 
 def test_scan_keeps_zero(evaluate):
@@ -124,6 +124,8 @@ def test_answer_example_checks_length(evaluate):
     assert evaluate(built, p=[1], a=[2, 3]).labels == [-100, 2, 3, 9]
     with pytest.raises(Exception, match="example too long"):
         evaluate(built, p=[1, 1], a=[2, 3])
+    lenient = tokens.answer_example(F.col("p"), F.col("a"), 9, 0, 4, strict=False)
+    assert evaluate(lenient, p=[1, 1], a=[2, 3]) is None and evaluate(lenient, p=[1], a=[2]).input_ids == [1, 2, 9, 0]
 
 
 def test_offsets_and_corrected_state(evaluate):

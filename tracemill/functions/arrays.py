@@ -35,41 +35,33 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def scan(items: Column, zero: Column, combine: Callable[[Column, Column], Column], kind: str) -> Column:
-    """Running fold of an array of ``kind`` under an associative ``combine``.
+    """Running fold of an array of ``kind``, item after item.
 
     A fold that appends to its own result copies it for every item, which is
-    quadratic. Here items are folded in runs of fixed length, then each run is
-    shifted by the fold of the runs before it, so copying stays within a run.
+    quadratic. Here results are gathered in runs of fixed length, each starting
+    from the last result of the run before, so an append copies one run at most.
     """
 
-    def append(done: Column, item: Column) -> Column:
-        return F.array_append(done, combine(F.coalesce(F.try_element_at(done, F.lit(-1)), zero), item))
+    def last_of(values: Column) -> Column:
+        return F.try_element_at(values, F.lit(-1))
 
-    def within(whole: Column) -> Column:
-        return F.transform(
-            positions(F.ceil(F.size(whole) / RUN)),
-            lambda i: F.aggregate(
-                F.slice(whole, i * RUN + 1, F.lit(RUN)), F.array().cast(f"array<{kind}>"), append
+    def run(whole: Column, done: Column, i: Column) -> Column:
+        return F.aggregate(
+            F.slice(whole, i * RUN + 1, F.lit(RUN)),
+            F.array().cast(f"array<{kind}>"),
+            lambda part, item: F.array_append(
+                part, combine(F.coalesce(last_of(part), last_of(last_of(done)), zero), item)
             ),
         )
 
-    def carried(runs: Column) -> Column:
+    def runs(whole: Column) -> Column:
         return F.aggregate(
-            runs,
-            F.array(zero).cast(f"array<{kind}>"),
-            lambda done, run: F.array_append(done, combine(F.element_at(done, -1), F.element_at(run, -1))),
-        )
-
-    def shifted(runs: Column) -> Column:
-        return F.flatten(
-            F.zip_with(
-                runs,
-                F.slice(carried(runs), 1, F.size(runs)),
-                lambda run, before: F.transform(run, lambda item: combine(before, item)),
-            )
+            positions(F.ceil(F.size(whole) / RUN)),
+            F.array().cast(f"array<array<{kind}>>"),
+            lambda done, i: F.array_append(done, run(whole, done, i)),
         )
 
-    return bind(items, lambda whole: bind(within(whole), shifted))
+    return F.flatten(bind(items, runs))
 
 
 def join_items(items: Column, separator: str = ",") -> Column:

@@ -228,13 +228,16 @@ def supervised_example(
     )
 
 
-def answer_example(prompt: Column, answer: Column, eos_id: int, pad_id: int, length: int = fixed.PAD_LENGTH) -> Column:
-    """Supervised example without a state; a row over ``length`` is an error."""
+def answer_example(
+    prompt: Column, answer: Column, eos_id: int, pad_id: int, length: int = fixed.PAD_LENGTH, strict: bool = True
+) -> Column:
+    """Supervised example without a state; a row over ``length`` is an error, or NULL if not ``strict``."""
     nothing = F.array().cast("array<int>")
     built = supervised_example(prompt, nothing, answer, [], eos_id, pad_id, length)
-    return F.when(
-        F.size(prompt) + F.size(answer) + 1 > length, F.raise_error(F.lit("example too long"))
-    ).otherwise(built)
+    too_long = F.size(prompt) + F.size(answer) + 1 > length
+    if strict:
+        return F.when(too_long, F.raise_error(F.lit("example too long"))).otherwise(built)
+    return F.when(~too_long, built)
 
 
 # -------------------------------------------------------------- probabilities
