@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 RUN = 64
 
 
+def whole_div(value: Column, by: int) -> Column:
+    """Integer quotient of a non-negative integer, exact for any size (``/`` goes through doubles)."""
+    return F.call_function("div", value, F.lit(by))
+
+
 def positions(count: Column) -> Column:
     """``0 .. count-1``; empty for zero, where ``sequence(0, -1)`` would descend."""
     return F.when(count > 0, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(
@@ -56,7 +61,7 @@ def scan(items: Column, zero: Column, combine: Callable[[Column, Column], Column
 
     def runs(whole: Column) -> Column:
         return F.aggregate(
-            positions(F.ceil(F.size(whole) / RUN)),
+            positions(whole_div(F.size(whole) + (RUN - 1), RUN)),
             F.array().cast(f"array<array<{kind}>>"),
             lambda done, i: F.array_append(done, run(whole, done, i)),
         )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill import fixed_values as fixed
+from tracemill.functions.arrays import whole_div
 from tracemill.functions.tokens import detokenize, next_state_cut, tokenize
 from tracemill.operators.scale import salted_join, with_group_values, with_previous
 from tracemill.schemas import EPISODE_KEY, PROBLEM_KEY
@@ -31,7 +32,7 @@ def phase_of(step: Column) -> Column:
 
 def cycle_of(step: Column) -> Column:
     """Cycle of a step past the initial one."""
-    return F.floor((step - 1) / F.lit(3)).cast("long")
+    return whole_div(step - 1, 3)
 
 
 # ------------------------------------------------------------------ transitions

@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.arrays import whole_div
 from tracemill.functions.tokens import seeded_hash
 from tracemill.session import use_shared_checkpoints
 
@@ -31,7 +32,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def block_of(index: str, block: int) -> Column:
-    return F.floor(F.col(index) / F.lit(block)).cast("long")
+    return whole_div(F.col(index), block)
 
 
 def with_previous(

@@ -75,7 +75,17 @@ CUT = """SELECT t.doc_id, t.ids, t.state_ids, coalesce(kept, 0) AS kept
     USING (doc_id)"""
 
 
-@query("running_product_w7", "SELECT doc_id, pos, round(running, 6) AS running FROM running", running=RUNNING)
+# A windowed product() multiplies in tree order; this one goes token by token.
+IN_ORDER = """SELECT doc_id, list_reduce(list([prob] ORDER BY pos), lambda done, p: list_append(done, done[-1] * p[1]))
+    AS products FROM v_tokprob GROUP BY doc_id"""
+
+
+@query(
+    "running_product_w7",
+    """SELECT doc_id, generate_subscripts(products, 1) - 1 AS pos, round(unnest(products), 6) AS running
+       FROM in_order""",
+    in_order=IN_ORDER,
+)
 def running_product(spark, sf):
     running = tokens.running_product(F.col("probs"))
     rows = views.token_probabilities(spark, sf).select("doc_id", F.posexplode(running).alias("pos", "running"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill import fixed_values as fixed
-from tracemill.functions.arrays import join_items
+from tracemill.functions.arrays import join_items, whole_div
 from tracemill.functions.text import strip_prefix
 from tracemill.operators import curation, episodes, metrics, quality
 from tracemill.operators.scale import first_per_key
@@ -405,7 +405,7 @@ def decision_to_code(spark, sf):
 )
 def assistant_transition(spark, sf):
     actions = views.table(spark, sf, "conversations").select(
-        F.floor(F.col("turn") / views.RUN_STEPS).cast("long").alias("run_id"),
+        whole_div(F.col("turn"), views.RUN_STEPS).alias("run_id"),
         F.lit(0).alias("future"),
         F.col("conv_id").alias("episode_id"),
         F.pmod("turn", F.lit(views.RUN_STEPS)).alias("step"),

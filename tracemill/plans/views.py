@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill import fixed_values as fixed
-from tracemill.functions.arrays import drop, head
+from tracemill.functions.arrays import drop, head, whole_div
 from tracemill.functions.tokens import detokenize, offset_spans, tokenize
 from tracemill.operators import curation
 from tracemill.operators.scale import spread
@@ -63,7 +63,7 @@ def problems(spark: SparkSession, sf: str) -> DataFrame:
 def trajectories(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as states: code grows by what was typed or accepted."""
     turns = table(spark, sf, "conversations").select(
-        F.floor(F.col("turn") / RUN_STEPS).cast("long").alias("run_id"),
+        whole_div(F.col("turn"), RUN_STEPS).alias("run_id"),
         F.lit(0).alias("future"),
         F.col("conv_id").alias("episode_id"),
         F.pmod("turn", F.lit(RUN_STEPS)).alias("step"),
@@ -91,7 +91,7 @@ def trajectories(spark: SparkSession, sf: str) -> DataFrame:
             F.pmod("episode_id", F.lit(40)).cast("string").alias("contest_id"),
             F.element_at(
                 F.array(*[F.lit(lang) for lang in ("de", "en", "es", "fr")]),
-                (F.pmod(F.floor(F.col("episode_id") / 40), F.lit(4)) + 1).cast("int"),
+                (F.pmod(whole_div(F.col("episode_id"), 40), F.lit(4)) + 1).cast("int"),
             ).alias("question_id"),
             "code",
             F.when(phase == 1, F.concat("code", "text")).alias("suggested_completion"),
@@ -104,7 +104,7 @@ def forked_trajectories(spark: SparkSession, sf: str) -> DataFrame:
     return trajectories(spark, sf).select(
         "run_id",
         F.pmod("episode_id", F.lit(3)).cast("int").alias("future"),
-        F.floor(F.col("episode_id") / 3).cast("long").alias("episode_id"),
+        whole_div(F.col("episode_id"), 3).alias("episode_id"),
         "step",
         "code",
         "suggested_completion",
@@ -120,7 +120,7 @@ def infos(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "conversations")
         .where(F.pmod(step, F.lit(3)) == 2)
         .select(
-            F.floor(F.col("turn") / RUN_STEPS).cast("long").alias("run_id"),
+            whole_div(F.col("turn"), RUN_STEPS).alias("run_id"),
             F.lit(0).alias("future"),
             F.col("conv_id").alias("episode_id"),
             step.alias("step"),
@@ -160,7 +160,7 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 def token_ids(spark: SparkSession, sf: str, keep_tokens: bool = False) -> DataFrame:
     """(doc_id, ids, state_ids): whole documents, the state being their first third."""
     coded = encode(words(spark, sf), ["doc_id"], "tokens", vocabulary(spark, sf), keep_tokens)
-    third = F.floor(F.size("ids") / 3).cast("int")
+    third = whole_div(F.size("ids"), 3).cast("int")
     return coded.withColumn("state_ids", head(F.col("ids"), third))
 
 
@@ -182,7 +182,7 @@ def token_probabilities(spark: SparkSession, sf: str) -> DataFrame:
 def logits(spark: SparkSession, sf: str) -> DataFrame:
     vec = F.col("vec_id")
     return table(spark, sf, "embeddings").select(
-        F.floor(vec / 10).cast("long").alias("example_id"),
+        whole_div(vec, 10).alias("example_id"),
         F.pmod(vec, F.lit(10)).alias("pos"),
         F.col("label").alias("token_id"),
         F.col("embedding").alias("logits"),
@@ -230,7 +230,7 @@ def decision_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def supervised_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Prompt, state and completion (state included): two quarters, then all the rest."""
     ids = F.col("ids")
-    quarter = F.floor(F.size(ids) / 4).cast("int")
+    quarter = whole_div(F.size(ids), 4).cast("int")
     return token_ids(spark, sf).select(
         "doc_id",
         head(ids, quarter).alias("prompt_ids"),
@@ -257,7 +257,7 @@ def offset_rows(spark: SparkSession, sf: str) -> DataFrame:
             "ids",
             offset_spans(F.col("tokens")).alias("spans"),
             F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat(text, F.lit(fixed.CHAT_END_OF_TURN)))
-            .otherwise(F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int")))
+            .otherwise(F.substring(text, F.lit(1), whole_div(F.length(text), 2).cast("int")))
             .alias("state_prompt"),
         )
     )
@@ -282,7 +282,7 @@ def chats(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations in parts of at most ``CHAT_TURNS`` turns."""
     return (
         table(spark, sf, "conversations")
-        .groupBy("conv_id", F.floor(F.col("turn") / CHAT_TURNS).cast("long").alias("part"))
+        .groupBy("conv_id", whole_div(F.col("turn"), CHAT_TURNS).alias("part"))
         .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_turns"))
         .select(
             "conv_id",
