@@ -10,6 +10,7 @@ from tracemill.functions.tokens import (
     agreement_cut,
     append_sampled_ids,
     last_non_eos_index,
+    unpad,
 )
 from tracemill.operators import completions, decisions
 from tracemill.operators.vocabulary import decode
@@ -68,7 +69,7 @@ def unravel_futures(spark, sf):
 )
 def agreement(spark, sf):
     """Cut where the other code leaves; against itself the whole code agrees."""
-    state = F.slice("code_ids", 1, 16)
+    state = unpad(F.col("state_ids"), EOS_ID)
     return views.futures(spark, sf).select(
         "example_id",
         join_items(agreement_cut(state, F.col("code_ids"), F.col("null_ids"))).alias("kept_ids"),
@@ -78,7 +79,7 @@ def agreement(spark, sf):
     )
 
 
-@query("last_token_index_t11", "SELECT example_id, 15 AS last_index FROM v_futures")
+@query("last_token_index_t11", "SELECT example_id, held - 1 AS last_index FROM v_futures")
 def last_token_index(spark, sf):
     return views.futures(spark, sf).select(
         "example_id", last_non_eos_index(F.col("state_ids"), EOS_ID).alias("last_index")
@@ -87,15 +88,16 @@ def last_token_index(spark, sf):
 
 @query(
     "append_sampled_t20",
-    "SELECT example_id, array_to_string(range(1, 17) || range(1, 65), ',') AS appended_ids FROM v_futures",
+    "SELECT example_id, array_to_string(range(1, held + 1) || null_code, ',') AS appended_ids FROM v_futures",
 )
 def append_sampled(spark, sf):
     """Each step's map lists the sampled id first, then a runner-up."""
     maps = F.transform(
-        "code_ids", lambda x: F.create_map(x, F.lit(-0.1), x + 1000, F.lit(-2.0))
+        F.get("null_ids", F.lit(0)), lambda x: F.create_map(x, F.lit(-0.1), x + 5000, F.lit(-2.0))
     )
+    state = unpad(F.col("state_ids"), EOS_ID)
     return views.futures(spark, sf).select(
-        "example_id", join_items(append_sampled_ids(F.slice("state_ids", 1, 16), maps)).alias("appended_ids")
+        "example_id", join_items(append_sampled_ids(state, maps)).alias("appended_ids")
     )
 
 
@@ -116,11 +118,11 @@ def chosen(spark, sf, chooser, longest=32):
 
 DRAWN = f"""('0x' || substr(md5(concat_ws('|', example_id::VARCHAR, future::VARCHAR, '{SEED}')), 1, 8))::BIGINT % 32"""
 CHOICES = {
-    "empowerment": ("17 + best", "score_q", "score_v"),
-    "longest": ("48", "0.0", "score_v"),
-    "random": (f"17 + {DRAWN}", f"q[32 * future + {DRAWN} + 1]::DOUBLE", "score_v"),
-    "longest_random": (f"17 + {DRAWN}", f"-({DRAWN})::DOUBLE", "0.0"),
-    "shortest": ("17", "0.0", "score_v"),
+    "empowerment": ("held + 1 + best", "score_q", "score_v"),
+    "longest": ("held + 32", "0.0::DOUBLE", "score_v"),
+    "random": (f"held + 1 + {DRAWN}", f"q[32 * future + {DRAWN} + 1]::DOUBLE", "score_v"),
+    "longest_random": (f"held + 1 + {DRAWN}", f"-({DRAWN})::DOUBLE", "0.0::DOUBLE"),
+    "shortest": ("held + 1", "0.0::DOUBLE", "score_v"),
 }
 
 
@@ -146,7 +148,7 @@ for _chooser in completions.CHOOSERS:
     "chosen_text_t10",
     """SELECT example_id, future, string_agg(token, ' ' ORDER BY i) || '```' AS correct_completion
        FROM (SELECT example_id, future, unnest(kept) AS id, generate_subscripts(kept, 1) AS i
-             FROM (SELECT *, completion_ids[1:17 + best] AS kept FROM v_best))
+             FROM (SELECT *, completion_ids[1:held + 1 + best] AS kept FROM v_best))
        LEFT JOIN v_vocab USING (id) GROUP BY example_id, future""",
 )
 def chosen_text(spark, sf):

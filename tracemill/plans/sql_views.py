@@ -44,7 +44,7 @@ VIEWS: dict[str, str] = {
                   OVER (PARTITION BY conv_id, run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS code
               FROM v_turns)""",
     "v_forked": """
-        SELECT run_id, episode_id % 3 AS future, episode_id // 3 AS episode_id, step, code, suggested_completion
+        SELECT run_id, (episode_id % 3)::INT AS future, episode_id // 3 AS episode_id, step, code, suggested_completion
         FROM v_traj""",
     "v_actions": f"""
         SELECT turn // {RUN_STEPS} AS run_id, 0 AS future, conv_id AS episode_id, turn % {RUN_STEPS} AS step,
@@ -96,15 +96,15 @@ VIEWS: dict[str, str] = {
         FROM embeddings""",
     "v_futures": """
         SELECT vec_id AS example_id, CASE WHEN vec_id % 5 <> 0 THEN 'train' ELSE 'test' END AS split,
-               label, embedding AS q, range(1, 65) AS code_ids,
+               label, (label + 8)::INT AS held, embedding AS q, range(1, 65) AS code_ids,
                [CASE WHEN x = label + 21 THEN x + 1000 ELSE x END for x in range(1, 65)] AS null_code
         FROM embeddings""",
     "v_future_rows": """
-        SELECT example_id, split, q, 0 AS future, code_ids AS completion_ids FROM v_futures
+        SELECT example_id, split, held, q, 0 AS future, code_ids AS completion_ids FROM v_futures
         UNION ALL
-        SELECT example_id, split, q, 1 AS future, null_code AS completion_ids FROM v_futures""",
+        SELECT example_id, split, held, q, 1 AS future, null_code AS completion_ids FROM v_futures""",
     "v_best": """
-        SELECT example_id, split, future, completion_ids, h AS best, x::DOUBLE AS score_q, score_v,
+        SELECT example_id, split, held, future, completion_ids, h AS best, x::DOUBLE AS score_q, score_v,
                x::DOUBLE - score_v AS score_a
         FROM (SELECT r.*, h, q[32 * future + h + 1] AS x,
                      (SELECT avg(y::DOUBLE) FROM (SELECT unnest(q) AS y)) AS score_v

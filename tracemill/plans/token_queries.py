@@ -25,7 +25,7 @@ def text_of(column: str, name: str | None = None):
 
 @query(
     "tokenize_t1",
-    "SELECT doc_id, len(ids) AS n_tokens, array_to_string(ids, ',') AS ids FROM v_tokens",
+    "SELECT doc_id, len(ids)::INT AS n_tokens, array_to_string(ids, ',') AS ids FROM v_tokens",
 )
 def tokenize(spark, sf):
     return views.token_ids(spark, sf).select("doc_id", F.size("ids").alias("n_tokens"), text_of("ids"))
@@ -82,7 +82,7 @@ IN_ORDER = """SELECT doc_id, list_reduce(list([prob] ORDER BY pos), lambda done,
 
 @query(
     "running_product_w7",
-    """SELECT doc_id, generate_subscripts(products, 1) - 1 AS pos, round(unnest(products), 6) AS running
+    """SELECT doc_id, (generate_subscripts(products, 1) - 1)::INT AS pos, round(unnest(products), 6) AS running
        FROM in_order""",
     in_order=IN_ORDER,
 )

@@ -48,7 +48,7 @@ def phase_labels(spark, sf):
 
 @query(
     "code_growth_w2",
-    f"SELECT {KEYS}, step, length(code) AS code_length, length(code) - length(code_1) AS growth FROM v_steps",
+    f"SELECT {KEYS}, step, length(code)::INT AS code_length, (length(code) - length(code_1))::INT AS growth FROM v_steps",
 )
 def code_growth(spark, sf):
     return episodes.code_growth(views.trajectories(spark, sf))

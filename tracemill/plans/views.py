@@ -190,14 +190,17 @@ def logits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def futures(spark: SparkSession, sf: str) -> DataFrame:
-    """Two futures over a horizon of 32: a code of 64 ids and one that leaves it at one place."""
+    """Two futures over a horizon of 32: a code of 64 ids and one that leaves it at one place.
+
+    States hold 8 to 17 ids, padded to 24 with the end token.
+    """
     code = F.sequence(F.lit(1), F.lit(64))
-    vector = F.col("embedding")
+    vector, held = F.col("embedding"), F.col("label") + 8
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("example_id"),
         F.when(F.pmod("vec_id", F.lit(5)) != 0, "train").otherwise("test").alias("split"),
         F.array(F.slice(vector, 1, 32), F.slice(vector, 33, 32)).alias("q"),
-        F.concat(F.sequence(F.lit(1), F.lit(16)), F.array_repeat(F.lit(EOS_ID), 8)).alias("state_ids"),
+        F.concat(F.sequence(F.lit(1), held), F.array_repeat(F.lit(EOS_ID), 24 - held)).alias("state_ids"),
         code.alias("code_ids"),
         F.array(
             F.transform(code, lambda x, i: F.when(i == F.col("label") + 20, x + 1000).otherwise(x))
