@@ -1,4 +1,7 @@
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +108,20 @@ def test_generate_retries(spark, tmp_path):
 
     with pytest.raises(Exception, match="never works"):
         user_functions.generate(df, "prompt", "answer", broken, clients=1).collect()
+
+
+def test_workers_need_no_package(tmp_path):
+    """The queries run from a folder in which workers cannot import the package."""
+    root = Path(__file__).resolve().parent.parent
+    script = tmp_path / "run.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "from __spark_entry__ import queries\n"
+        "from tracemill.session import build_session\n"
+        "spark = build_session('elsewhere', 'local[2]', spark__sql__shuffle__partitions='2')\n"
+        "for name in ('map_rows_u1', 'map_batches_u2', 'generate_u4'):\n"
+        "    print(queries()[name](spark, '/root/testdata/sf0.001').count())\n"
+    )
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.split() == ["200", "500", "87"]

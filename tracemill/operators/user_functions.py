@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import tracemill
 from tracemill import fixed_values as fixed
 
+# Functions of this package travel by value, so workers need not have it installed.
+cloudpickle.register_pickle_by_value(tracemill)
+
 
 def map_rows(
     df: DataFrame, function: Callable, inputs: Sequence[str], output: str, kind: str | T.DataType, **bound
