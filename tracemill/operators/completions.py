@@ -9,7 +9,7 @@ from tracemill import fixed_values as fixed
 from tracemill.functions.arrays import head
 from tracemill.functions.tokens import last_non_eos_index, seeded_int, softmax_at
 
-CHOOSERS = ("empowerment", "longest", "random", "longest_random", "shortest")
+CHOOSERS = fixed.CHOOSERS
 
 
 def unravel_futures(df: DataFrame, code: str = "code_ids", others: str = "null_ids") -> DataFrame:

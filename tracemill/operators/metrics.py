@@ -90,9 +90,12 @@ def final_lengths(trajectories: DataFrame) -> DataFrame:
 
 
 def discounted_scores(
-    trajectories: DataFrame, results: DataFrame, discount: float = fixed.DISCOUNT_PER_TOKEN
+    trajectories: DataFrame,
+    results: DataFrame,
+    discount: float = fixed.DISCOUNT_PER_TOKEN,
+    keys: Sequence[str] = ("episode_id",),
 ) -> DataFrame:
-    """Per episode: a pass, discounted by characters read and written."""
+    """Per episode: a pass, discounted by characters read and written; ``keys`` says what a grade is for."""
     weighted = (
         F.col("suggested_chars") * fixed.READING_CHAR_WEIGHT
         + F.col("appended_chars") * fixed.WRITING_CHAR_WEIGHT
@@ -100,15 +103,19 @@ def discounted_scores(
     passed = (F.col("`pass@1`") == 1).cast("double")
     return (
         character_totals(trajectories)
-        .join(results.where(F.col("`pass@1`").isNotNull()), "episode_id")
+        .join(results.where(F.col("`pass@1`").isNotNull()), [*keys])
         .withColumn("score", F.pow(F.lit(discount), weighted) * passed)
     )
 
 
 def discounted_pass_rate(
-    trajectories: DataFrame, results: DataFrame, discount: float = fixed.DISCOUNT_PER_TOKEN
+    trajectories: DataFrame,
+    results: DataFrame,
+    discount: float = fixed.DISCOUNT_PER_TOKEN,
+    keys: Sequence[str] = ("episode_id",),
 ) -> DataFrame:
-    return mean_sem_count(discounted_scores(trajectories, results, discount), F.col("score"), "discounted_pass")
+    scores = discounted_scores(trajectories, results, discount, keys)
+    return mean_sem_count(scores, F.col("score"), "discounted_pass")
 
 
 def active_per_cycle(trajectories: DataFrame, infos: DataFrame) -> DataFrame:
