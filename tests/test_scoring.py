@@ -92,7 +92,8 @@ def test_next_token_probabilities(spark):
 
 
 @pytest.mark.parametrize("size, head_ranks", [(0, 0), (0, 2), (0, 1000), (1 << 20, 2)])
-def test_vocabulary_round_trip(spark, monkeypatch, size, head_ranks):
+@pytest.mark.parametrize("own_texts", [True, False])
+def test_vocabulary_round_trip(spark, monkeypatch, size, head_ranks, own_texts):
     from tracemill.operators import vocabulary as module
 
     monkeypatch.setattr(module, "BROADCAST_BYTES", size)
@@ -104,12 +105,12 @@ def test_vocabulary_round_trip(spark, monkeypatch, size, head_ranks):
     assert [(r.token, r.frequency) for r in table.orderBy("token_id").collect()] == [
         ("a", 2), ("b", 2), ("b" * 300, 1), ("c", 1),
     ]
-    coded = encode(docs, ["id"], "tokens", table, keep_tokens=True)
+    coded = encode(docs, ["id"], "tokens", table, keep_tokens=True, own_texts=own_texts)
     rows = {r.id: r for r in coded.collect()}
     assert rows[1].ids == [2, 1, 2, 4] and rows[2].ids == [] and rows[3].ids == [3, 1]
     assert rows[1].tokens == ["b", "a", "b", "c"]
     closed = coded.select("id", F.array_append("ids", F.lit(0)).alias("ids"))
-    text = {r.id: r.text for r in decode(closed, ["id"], "ids", table, special_ids=[0]).collect()}
+    text = {r.id: r.text for r in decode(closed, ["id"], "ids", table, special_ids=[0], own_texts=own_texts).collect()}
     assert text == {1: "b a b c", 2: "", 3: "b" * 300 + " a"}
     unknown = spark.createDataFrame([(1, ["zzz", "a"])], "id int, tokens array<string>")
     assert encode(unknown, ["id"], "tokens", table).first().ids == [None, 1]

@@ -17,6 +17,7 @@ from tracemill.operators import metrics
         ("x = 1```tail```", "x = 1"),
         ("```", ""),
         ("``````", ""),
+        ("\x1c\u00a0```x", "x"),
         ("", ""),
         ("a```python b", "a b"),
         ("é🙂 = 1```", "é🙂 = 1"),
@@ -28,6 +29,8 @@ def test_clean_snippet(evaluate, given, wanted):
 
 def test_strip_is_unicode_aware(evaluate):
     assert evaluate(text.strip(F.col("s")), s=" \t Accept \n") == "Accept"
+    given = "\x1c\u2003 x\x1f\n\n"
+    assert evaluate(text.strip(F.col("s")), s=given) == given.strip()
     assert evaluate(text.normalise_token(F.col("s")), s=" ACCEPT\n") == "accept"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill import fixed_values as fixed
 
+SPACE = r"[\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 
@@ -25,7 +26,7 @@ def fill(template: str, **values: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim Unicode whitespace on both ends (SQL ``trim`` only trims spaces)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
 
 
 def clean_snippet(text: Column) -> Column:
@@ -35,7 +36,7 @@ def clean_snippet(text: Column) -> Column:
     precedes it; everything from the next fence on is cut.
     """
     bare = F.replace(text, F.lit(fixed.PYTHON_FENCE), F.lit(""))
-    opened = bare.rlike(r"(?U)^\s*```")
+    opened = bare.rlike(rf"(?U)^{SPACE}*{fixed.FENCE}")
     body = F.when(opened, F.substring(bare, F.locate(fixed.FENCE, bare) + 3, F.length(bare))).otherwise(bare)
     return F.substring_index(body, fixed.FENCE, 1)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.tokens import detokenize
-from tracemill.operators.scale import global_rank
+from tracemill.operators.scale import global_rank, salted_join
 
 # A vocabulary measured to stay under this size is broadcast whole.
 BROADCAST_BYTES = 64 << 20
@@ -19,6 +19,9 @@ ROW_BYTES = 64
 # than that cannot be hot among tokens of ordinary length.
 HEAD_RANKS = 200_000
 HEAD_TOKEN_CHARS = 256
+# Other texts than the vocabulary's own may favour a token of the tail, so
+# lookups in the tail are salted unless the caller says the texts are its own.
+TAIL_SALTS = 8
 
 
 def build_vocabulary(tokens: DataFrame, token: str = "token") -> DataFrame:
@@ -35,11 +38,11 @@ def fits_broadcast(vocabulary: DataFrame) -> bool:
     return vocabulary.agg(size.alias("size")).first()["size"] <= BROADCAST_BYTES
 
 
-def _look_up(items: DataFrame, vocabulary: DataFrame, by: str) -> DataFrame:
+def _look_up(items: DataFrame, keys: Sequence[str], vocabulary: DataFrame, by: str, own_texts: bool) -> DataFrame:
     """Left join items to the vocabulary on ``token`` or ``token_id``.
 
     Past the broadcast size, frequent entries are still met by broadcast and
-    only the long tail, in which no key is hot, is joined by shuffle.
+    only the long tail is joined by shuffle.
     """
     entries = vocabulary.select("token", "token_id")
     if fits_broadcast(vocabulary):
@@ -49,16 +52,29 @@ def _look_up(items: DataFrame, vocabulary: DataFrame, by: str) -> DataFrame:
     found = F.col("token_id" if by == "token" else "token").isNotNull()
     near = items.join(frequent, by, "left").where(found | F.col(by).isNull())
     far = items.where(F.col(by).isNotNull()).join(frequent, by, "left_anti")
-    return near.unionByName(far.join(entries.where(~is_head), by, "left"))
-
-
-def encode(df: DataFrame, keys: Sequence[str], tokens: str, vocabulary: DataFrame, keep_tokens: bool = False) -> DataFrame:
-    """Keys with ``ids``, the token ids in order (NULL for an unknown token)."""
+    tail = entries.where(~is_head)
+    if own_texts:
+        return near.unionByName(far.join(tail, by, "left"))
+    return near.unionByName(salted_join(far, tail, [by], [*keys, "_pos"], "left", TAIL_SALTS))
+
+
+def encode(
+    df: DataFrame,
+    keys: Sequence[str],
+    tokens: str,
+    vocabulary: DataFrame,
+    keep_tokens: bool = False,
+    own_texts: bool = False,
+) -> DataFrame:
+    """Keys with ``ids``, the token ids in order (NULL for an unknown token).
+
+    ``own_texts``: the vocabulary was built from these very texts.
+    """
     items = df.select(*keys, F.posexplode_outer(tokens).alias("_pos", "token"))
     fields = ["_pos", "token_id"] + (["token"] if keep_tokens else [])
     found = F.when(F.col("_pos").isNotNull(), F.struct(*fields))
     rows = (
-        _look_up(items, vocabulary, "token")
+        _look_up(items, keys, vocabulary, "token", own_texts)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(found)).alias("_found"))
     )
@@ -68,13 +84,20 @@ def encode(df: DataFrame, keys: Sequence[str], tokens: str, vocabulary: DataFram
     return rows.select(*keys, *wanted)
 
 
-def decode(df: DataFrame, keys: Sequence[str], ids: str, vocabulary: DataFrame, special_ids: Sequence[int] = ()) -> DataFrame:
+def decode(
+    df: DataFrame,
+    keys: Sequence[str],
+    ids: str,
+    vocabulary: DataFrame,
+    special_ids: Sequence[int] = (),
+    own_texts: bool = False,
+) -> DataFrame:
     """Keys with ``text``: the tokens of ``ids`` joined by spaces, special ids left out."""
     kept = F.filter(ids, lambda token: ~token.isin(*special_ids)) if special_ids else F.col(ids)
     items = df.select(*keys, F.posexplode_outer(kept).alias("_pos", "token_id"))
     found = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "token"))
     rows = (
-        _look_up(items, vocabulary, "token_id")
+        _look_up(items, keys, vocabulary, "token_id", own_texts)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(found)).alias("_found"))
     )

@@ -40,7 +40,7 @@ def vocabulary(spark, sf):
 def decode_ids(spark, sf):
     """Decode with an end token put after each document, to be skipped."""
     rows = views.token_ids(spark, sf).select("doc_id", F.array_append("ids", F.lit(EOS_ID)).alias("ids"))
-    return decode(rows, ["doc_id"], "ids", views.vocabulary(spark, sf), special_ids=[EOS_ID])
+    return decode(rows, ["doc_id"], "ids", views.vocabulary(spark, sf), special_ids=[EOS_ID], own_texts=True)
 
 
 def padded_sql(column: str) -> str:
@@ -340,6 +340,6 @@ def states_without_tokens(spark, sf):
 )
 def decode_mismatches(spark, sf):
     """Documents whose spacing the tokens do not bring back."""
-    decoded = decode(views.token_ids(spark, sf), ["doc_id"], "ids", views.vocabulary(spark, sf))
+    decoded = decode(views.token_ids(spark, sf), ["doc_id"], "ids", views.vocabulary(spark, sf), own_texts=True)
     expected = views.table(spark, sf, "documents").select("doc_id", F.col("text").alias("code"))
     return quality.decode_mismatches(decoded, expected, ["doc_id"]).select("doc_id", "cleaned", "code")

@@ -159,7 +159,7 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, sf: str, keep_tokens: bool = False) -> DataFrame:
     """(doc_id, ids, state_ids): whole documents, the state being their first third."""
-    coded = encode(words(spark, sf), ["doc_id"], "tokens", vocabulary(spark, sf), keep_tokens)
+    coded = encode(words(spark, sf), ["doc_id"], "tokens", vocabulary(spark, sf), keep_tokens, own_texts=True)
     third = whole_div(F.size("ids"), 3).cast("int")
     return coded.withColumn("state_ids", head(F.col("ids"), third))
 
