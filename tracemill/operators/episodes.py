@@ -131,6 +131,8 @@ def cycles(trajectories: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
             F.max(F.when(phase == 1, F.col("suggested_completion"))).alias("suggestion"),
             F.max(F.when(phase == 2, F.col("code"))).alias("code_decided"),
             F.max(F.when(phase == 0, F.col("code"))).alias("code_after"),
+            # Lets a caller ask whether there was an append without reading code.
+            F.max(phase == 0).alias("appended"),
         )
     )
 
@@ -170,8 +172,8 @@ def active_after(decided: DataFrame) -> DataFrame:
     still = F.coalesce(F.col("first_stop") > F.col("cycle") * 3 + 3, F.lit(True))
     return (
         placed.where(entered)
-        .withColumn("active", still & F.col("code_after").isNotNull())
-        .drop("first_stop")
+        .withColumn("active", still & F.col("appended"))
+        .drop("first_stop", "appended")
     )
 
 

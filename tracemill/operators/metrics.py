@@ -12,6 +12,7 @@ from tracemill import fixed_values as fixed
 from tracemill.functions.text import lines, suggested_tail
 from tracemill.functions.tokens import token_count
 from tracemill.operators.episodes import active_after, character_totals, decided_cycles, latest
+from tracemill.schemas import EPISODE_KEY
 
 
 def standard_error(value: Column) -> Column:
@@ -83,7 +84,7 @@ def kept_length(examples: DataFrame, kept: str, state: str) -> DataFrame:
 
 def final_lengths(trajectories: DataFrame) -> DataFrame:
     """Characters of the final code; only lengths are shuffled."""
-    final = trajectories.groupBy("run_id", "future", "episode_id").agg(
+    final = trajectories.groupBy(*EPISODE_KEY).agg(
         F.max_by(F.length("code"), F.col("step")).alias("chars")
     )
     return final.agg(F.avg("chars").alias("mean_chars"), F.stddev_pop("chars").alias("std_chars"))
@@ -131,16 +132,17 @@ def implicit_acceptance(trajectories: DataFrame, infos: DataFrame) -> DataFrame:
 
     A cycle without an active episode has a NULL rate.
     """
-    rows = active_after(decided_cycles(trajectories, infos))
     retyped = (
         (F.col("action") != "accept")
         & F.startswith("code_after", "suggestion")
         & (F.length("suggestion") > F.length("code_before"))
     )
-    return rows.groupBy("cycle").agg(
-        F.avg(F.when(F.col("active"), F.coalesce(retyped, F.lit(False)).cast("double"))).alias(
-            "implicit_acceptance_rate"
-        )
+    # The texts are compared here, so that only a flag goes on to the join.
+    flagged = decided_cycles(trajectories, infos).select(
+        *EPISODE_KEY, "cycle", "stop_step", "appended", F.coalesce(retyped, F.lit(False)).alias("retyped")
+    )
+    return active_after(flagged).groupBy("cycle").agg(
+        F.avg(F.when(F.col("active"), F.col("retyped").cast("double"))).alias("implicit_acceptance_rate")
     )
 
 
