@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import queries_matches, queries_rows, queries_text  # noqa: F401
+from tracemill.llm import queries_matches, queries_packing, queries_rows, queries_text  # noqa: F401
 from tracemill.llm.registry import BUILDS, SQL
 
 __all__ = ["BUILDS", "SQL"]

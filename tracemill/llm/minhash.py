@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import map_batches, stage
@@ -34,10 +34,11 @@ HASHES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-6
 #: Rounds in which a bucket's classes meet one class, before those left meet each other.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: A list of ids up to this size is broadcast; a longer one is joined by shuffle.
 BROADCAST_IDS = 2_000_000
 WORD_CACHE = 500_000
+SETS = "doc_id long, n_shingles long, set binary, signature binary, x long, y long"
 CHUNK = 1024
 
 _rng = np.random.default_rng(9)
@@ -101,26 +102,66 @@ def needed_matches(miss: float = MISS) -> list[tuple[int, int]]:
     return out
 
 
+def most_differing_bits(miss: float = MISS) -> int:
+    """Differing low bits of ``HASHES`` places beyond which a pair is dropped.
+
+    Low bits agree with chance p = (1 + similarity) / 2; with a uniform prior
+    the posterior after m agreements is compared like the matches above.
+    """
+
+    def tail(m: int, p: float) -> float:
+        return sum(math.comb(HASHES + 1, k) * p**k * (1 - p) ** (HASHES + 1 - k) for k in range(m + 1))
+
+    threshold = (1 + PERCENT / 100) / 2
+    return max(d for d in range(HASHES + 1) if tail(HASHES - d, threshold) >= miss * tail(HASHES - d, 0.5))
+
+
+def may_match(left: str, right: str) -> Column:
+    """Whether two classes (``{left}n, {left}x, {left}y`` and so on) may be similar enough, by size and low bits."""
+    sizes = F.least(f"{left}n", f"{right}n") * 100 >= F.greatest(f"{left}n", f"{right}n") * PERCENT
+    differing = F.bit_count(F.col(f"{left}x").bitwiseXOR(F.col(f"{right}x"))) + F.bit_count(
+        F.col(f"{left}y").bitwiseXOR(F.col(f"{right}y"))
+    )
+    return sizes & (differing <= most_differing_bits())
+
+
 def document_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, n_shingles, set, signature`` of every row; set and signature are null without words."""
+    """``doc_id, n_shingles, set, signature, x, y`` of every row; the last four are null without words.
+
+    ``x`` and ``y`` hold the low bits of the signature's places.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sizes, sets, signatures = [], [], []
+            sizes, sets, signatures, bits = [], [], [], []
             for value in batch.column(1):
                 shingles = shingles_of(value.as_py(), hashes)
                 sizes.append(len(shingles))
-                some = len(shingles) > 0
-                sets.append(xxhash.xxh3_128_digest(shingles.tobytes()) if some else None)
-                signatures.append(signature_of(shingles).tobytes() if some else None)
+                if not len(shingles):
+                    sets.append(None)
+                    signatures.append(None)
+                    bits.append((None, None))
+                    continue
+                signature = signature_of(shingles)
+                sets.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                signatures.append(signature.tobytes())
+                bits.append(tuple(np.packbits(signature.astype(np.uint8) & 1).view(np.int64).tolist()))
+            low, high = zip(*bits) if bits else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signatures, pa.binary())],
-                names=["doc_id", "n_shingles", "set", "signature"],
+                [
+                    batch.column(0),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(sets, pa.binary()),
+                    pa.array(signatures, pa.binary()),
+                    pa.array(low, pa.int64()),
+                    pa.array(high, pa.int64()),
+                ],
+                names=["doc_id", "n_shingles", "set", "signature", "x", "y"],
             )
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(narrow, measure, "doc_id long, n_shingles long, set binary, signature binary")
+    return map_batches(narrow, measure, SETS)
 
 
 def prune(pairs: DataFrame) -> DataFrame:
@@ -202,13 +243,30 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, t
     return stage(confirm(_with_both(survivors, sets, "shingles", ("fa", "fb"))), "links")
 
 
+def _as_other(prefix: str = "") -> list[Column]:
+    return [F.col(f"{prefix}{name}").alias(f"d{name}") for name in ("comp", "n", "x", "y")]
+
+
+def first_to_meet(live: DataFrame) -> DataFrame:
+    """``key, d, dcomp, dn, dx, dy``: of every bucket the class that meets most others in all buckets together.
+
+    The text that others were made from shares most bands with them, and links
+    most of a bucket in one round.
+    """
+    sizes = live.groupBy("key").agg(F.count("*").alias("met"))
+    weights = live.join(sizes, "key").groupBy("c").agg(F.sum("met").alias("weight"))
+    first = F.max(F.struct("weight", (-F.col("c")).alias("least"), "comp", "n", "x", "y")).alias("f")
+    ranked = live.join(weights, "c").groupBy("key").agg(first)
+    return ranked.select("key", (-F.col("f.least")).alias("d"), *_as_other("f."))
+
+
 def link_classes(classes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame | None:
     """``(node, component)`` of all linked classes; None if nothing is linked."""
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))),
     )
-    bands = classes.select("c", F.explode(keys).alias("key"))
+    bands = classes.select("c", "n", "x", "y", F.explode(keys).alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     live = stage(bands.join(shared, "key").withColumn("comp", F.col("c")), "buckets")
     links, found = None, None
@@ -217,23 +275,22 @@ def link_classes(classes: DataFrame, docs: DataFrame, doc_id: str, text: str) ->
             break
         last = turn == STAR_ROUNDS
         if last:
-            other = live.select("key", F.col("c").alias("d"), F.col("comp").alias("dcomp"))
-            met = live.join(other, "key").where("c > d and comp <> dcomp")
-            pairs = met.select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
+            met = live.join(live.select("key", F.col("c").alias("d"), *_as_other()), "key").where("c > d")
         else:
-            firsts = live.groupBy("key").agg(F.min("c").alias("d"), F.min_by("comp", "c").alias("dcomp"))
+            firsts = first_to_meet(live)
             met = live.join(firsts, "key")
-            pairs = met.where("comp <> dcomp").select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
+        close = met.where((F.col("comp") != F.col("dcomp")) & may_match("", "d"))
+        pairs = close.select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
         more = verify(pairs, classes, docs, doc_id, text)
         if more is not None:
             links = more if links is None else links.union(more)
             found = components(links)
         if last:
             break
-        rest = met.where("c <> d").select("key", "c")
+        rest = met.where("c <> d").select("key", "c", "n", "x", "y")
         if found is not None:
             rest = rest.join(found.withColumnRenamed("node", "c"), "c", "left").select(
-                "key", "c", F.coalesce("component", "c").alias("comp")
+                "key", "c", "n", "x", "y", F.coalesce("component", "c").alias("comp")
             )
         else:
             rest = rest.withColumn("comp", F.col("c"))
@@ -257,7 +314,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     some = rows.where(F.col("set").isNotNull())
     classes = stage(
         some.groupBy("set")
-        .agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature"))
+        .agg(
+            F.min("doc_id").alias("doc"),
+            *[F.first(mine).alias(name) for mine, name in (("signature", "signature"), ("n_shingles", "n"), ("x", "x"), ("y", "y"))],
+        )
         .withColumn("c", F.monotonically_increasing_id()),
         "classes",
     )
@@ -273,7 +333,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         named = placed.join(least, "component").select("set", "component_id")
     own = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return (
-        rows.drop("signature")
+        rows.select("doc_id", "n_shingles", "set")
         .join(named, "set", "left")
         .select("doc_id", "n_shingles", own.alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
