@@ -122,9 +122,10 @@ def edited(pick, words, edits):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("stars", [minhash.STAR_ROUNDS, 0])
-def test_near_duplicates_against_brute_force(spark_llm, monkeypatch, stars):
+@pytest.mark.parametrize("stars, cell", [(minhash.STAR_ROUNDS, minhash.CELL_CLASSES), (0, 5)])
+def test_near_duplicates_against_brute_force(spark_llm, monkeypatch, stars, cell):
     monkeypatch.setattr(minhash, "STAR_ROUNDS", stars)
+    monkeypatch.setattr(minhash, "CELL_CLASSES", cell)
     pick = random.Random(stars)
     texts = [None, "", " \n", "one two", "One TWO", "one two three", LONG, LONG + "x", "a b c d e", "A b c d e"]
     for _ in range(6):

@@ -34,7 +34,10 @@ HASHES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-6
 #: Rounds in which a bucket's classes meet one class, before those left meet each other.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+#: Classes, and bytes of their sets, in one side of a cell in which those left meet.
+CELL_CLASSES = 1024
+CELL_BYTES = 16 << 20
 #: A list of ids up to this size is broadcast; a longer one is joined by shuffle.
 BROADCAST_IDS = 2_000_000
 WORD_CACHE = 500_000
@@ -260,6 +263,82 @@ def first_to_meet(live: DataFrame) -> DataFrame:
     return ranked.select("key", (-F.col("f.least")).alias("d"), *_as_other("f."))
 
 
+def meet_in_cells(live: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The links ``a, b`` between classes of one bucket that are in different components.
+
+    Buckets that share classes form a cluster. A cluster's classes are cut into
+    chunks of bounded size and every two chunks meet in a cell of their own, so
+    no task holds a cluster and only links leave it. In a cell a pair must
+    share a band, then pass the sequential comparison, then the full sets.
+    """
+    firsts = live.groupBy("key").agg(F.min("c").alias("d"))
+    spans = components(live.join(firsts, "key").select(F.col("c").alias("a"), F.col("d").alias("b")))
+    members = stage(
+        live.select("c", "comp", "n").distinct().join(spans.withColumnRenamed("node", "c"), "c"), "members"
+    )
+    chunks = members.groupBy("component").agg(
+        F.greatest(F.ceil(F.count("*") / CELL_CLASSES), F.ceil(F.sum("n") * 8 / CELL_BYTES)).cast("int").alias("chunks")
+    )
+    wanted = stage(classes.join(members.select("c"), "c").select("c", "doc", "set"), "wanted")
+    sets = full_sets(docs, wanted, doc_id, text)
+    placed = (
+        members.join(chunks, "component")
+        .join(classes.select("c", "signature"), "c")
+        .join(sets, "c")
+        .withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select(
+            "component",
+            F.least("chunk", "other").alias("low"),
+            F.greatest("chunk", "other").alias("high"),
+            "chunk",
+            "c",
+            "comp",
+            "signature",
+            "shingles",
+        )
+    )
+    steps = needed_matches()
+
+    def meet(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("chunk")
+        ids, comps, chunk = (cell.column(name).to_numpy() for name in ("c", "comp", "chunk"))
+        signatures = np.frombuffer(b"".join(cell.column("signature").to_pylist()), "<u4").reshape(-1, HASHES)
+        found = [np.frombuffer(content, np.uint64) for content in cell.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in found])
+        numbers = np.unique(np.concatenate(found), return_inverse=True)[1]
+        ends = np.cumsum(sizes)
+        low = int((chunk == chunk[0]).sum())
+        within = low == len(ids)
+        present = np.zeros(int(numbers.max()) + 1, np.int64)
+        links: list[tuple[int, int]] = []
+        for i in range(low):
+            start = i + 1 if within else low
+            others = np.arange(start, len(ids))
+            others = others[
+                (comps[others] != comps[i])
+                & (np.minimum(sizes[others], sizes[i]) * 100 >= np.maximum(sizes[others], sizes[i]) * PERCENT)
+            ]
+            same = signatures[others] == signatures[i]
+            fits = same.reshape(-1, BANDS, ROWS).all(axis=2).any(axis=1)
+            for n, needed in steps:
+                fits &= same[:, :n].sum(axis=1) >= needed
+            others = others[fits]
+            if not len(others):
+                continue
+            mine = numbers[ends[i] - sizes[i] : ends[i]]
+            present[mine] = 1
+            for j in others:
+                common = int(present[numbers[ends[j] - sizes[j] : ends[j]]].sum())
+                if 100 * common >= PERCENT * (sizes[i] + sizes[j] - common):
+                    links.append((int(ids[i]), int(ids[j])))
+            present[mine] = 0
+        left, right = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return stage(placed.groupBy("component", "low", "high").applyInArrow(meet, "a long, b long"), "links")
+
+
 def link_classes(classes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame | None:
     """``(node, component)`` of all linked classes; None if nothing is linked."""
     keys = F.transform(
@@ -267,27 +346,19 @@ def link_classes(classes: DataFrame, docs: DataFrame, doc_id: str, text: str) ->
         lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))),
     )
     bands = classes.select("c", "n", "x", "y", F.explode(keys).alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = bands.groupBy("key").agg(F.count("*").alias("met")).where("met > 1").select("key")
     live = stage(bands.join(shared, "key").withColumn("comp", F.col("c")), "buckets")
     links, found = None, None
-    for turn in range(STAR_ROUNDS + 1):
+    for _ in range(STAR_ROUNDS):
         if live.isEmpty():
-            break
-        last = turn == STAR_ROUNDS
-        if last:
-            met = live.join(live.select("key", F.col("c").alias("d"), *_as_other()), "key").where("c > d")
-        else:
-            firsts = first_to_meet(live)
-            met = live.join(firsts, "key")
+            return found
+        met = live.join(first_to_meet(live), "key").where("c <> d")
         close = met.where((F.col("comp") != F.col("dcomp")) & may_match("", "d"))
-        pairs = close.select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
-        more = verify(pairs, classes, docs, doc_id, text)
+        more = verify(close.select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), classes, docs, doc_id, text)
         if more is not None:
             links = more if links is None else links.union(more)
             found = components(links)
-        if last:
-            break
-        rest = met.where("c <> d").select("key", "c", "n", "x", "y")
+        rest = met.select("key", "c", "n", "x", "y")
         if found is not None:
             rest = rest.join(found.withColumnRenamed("node", "c"), "c", "left").select(
                 "key", "c", "n", "x", "y", F.coalesce("component", "c").alias("comp")
@@ -295,9 +366,14 @@ def link_classes(classes: DataFrame, docs: DataFrame, doc_id: str, text: str) ->
         else:
             rest = rest.withColumn("comp", F.col("c"))
         rest = stage(rest, "buckets")
-        open_keys = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-        live = stage(rest.join(open_keys.select("key"), "key"), "buckets")
-    return found
+        unsettled = rest.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h")
+        live = stage(rest.join(unsettled.select("key"), "key"), "buckets")
+    if live.isEmpty():
+        return found
+    more = meet_in_cells(live, classes, docs, doc_id, text)
+    if more.isEmpty():
+        return found
+    return components(more if links is None else links.union(more))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
