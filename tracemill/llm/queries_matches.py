@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontaminate, minhash
+from tracemill.llm import decontaminate, lines, minhash
 from tracemill.llm.registry import query, table
 
 OP7_SQL = r"""
@@ -77,3 +77,10 @@ FROM d JOIN least ON node = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id
 def minhash_bayes(spark: SparkSession, sf: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return minhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op6_fuzzy_lines")
+def fuzzy_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the lines that like lines elsewhere make superfluous."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lines.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
