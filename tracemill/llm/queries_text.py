@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import language, quality
+from tracemill.llm import language, pii, quality
 from tracemill.llm.registry import query, table
 
 
@@ -63,3 +63,15 @@ def host_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op8_contextual_pii")
+def contextual_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data of every document: base spans, and those found by learned contexts."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return pii.find_personal_data(docs).select(
+        "doc_id",
+        *[f"n_{kind}" for kind in pii.KINDS],
+        F.sha2(pii.show_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.show_spans(F.col("spans")).alias("spans"),
+    )
