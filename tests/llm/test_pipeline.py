@@ -1,5 +1,8 @@
 """The pipeline keeps, of its own stages' input, what brute force keeps."""
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from tests.llm.conftest import FOLDER
 from tests.llm.test_matches import brute_components, brute_hits
@@ -7,7 +10,6 @@ from tests.llm.test_packing import check
 from tests.llm.test_rows import brute_signals
 from tracemill.llm import packing
 from tracemill.llm.common import stage
-from tokenizers import Tokenizer
 
 
 def test_stages(spark_llm):
@@ -34,7 +36,7 @@ def test_stages(spark_llm):
         else:
             assert set(left) == {i for i, text in before.items() if not brute_hits(text, items)[3]}
         docs = after
-    tokenizer = Tokenizer.from_file(packing.byte_bpe_path())
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
     want = {r["doc_id"]: [*tokenizer.encode(r["text"], add_special_tokens=False).ids, 0] for r in docs.collect()}
     check(packing.pack(docs).collect(), want)

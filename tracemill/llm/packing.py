@@ -9,7 +9,7 @@ neighbours fill, cut where the window ends.
 
 from __future__ import annotations
 
-import os
+import base64
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -30,7 +30,7 @@ SHARD_TOKENS = 2_000_000
 #: Terms of a seed that are looked up: those that weigh most in it.
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
-CACHE = 300_000
+CACHE = 600_000
 PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 )
@@ -39,9 +39,10 @@ _BOUNDARY = re.compile(r"(?<=\S)(?= )")
 
 
 def byte_bpe_path() -> str:
+    """The ranks of the byte-level BPE whose ids ``byte_bpe_50k.json`` gives."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def pieces_of(text: str) -> list[str]:
@@ -60,22 +61,25 @@ class Encoder:
     """Token ids of texts, with the ids of recent pieces at hand."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.size = len(ranks)
+        self.bpe = tiktoken.Encoding(
+            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        )
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.cache: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [pieces_of(text) if text else [] for text in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        cache = self.cache
-        missing = list({piece for pieces in split for piece in pieces if piece not in cache})
-        for piece, found in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            cache[piece] = np.array(found.ids, self.kind).tobytes()
+        cache, encode, kind = self.cache, self.bpe.encode_ordinary, self.kind
+        for piece in {piece for pieces in split for piece in pieces}.difference(cache):
+            cache[piece] = np.array(encode(piece), kind).tobytes()
         return [b"".join([cache[piece] for piece in pieces]) for pieces in split]
 
 
@@ -229,7 +233,7 @@ def pack(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text:
     """
     path = path or byte_bpe_path()
     encoder = Encoder(path)
-    kind, size = np.dtype(encoder.kind), encoder.tokenizer.get_vocab_size()
+    kind, size = np.dtype(encoder.kind), encoder.size
     tokens = stage(tokenize(docs, path, doc_id, text), "tokens")
     shared = docs.sparkSession.sparkContext.broadcast(corpus_statistics(tokens, kind, size))
 
