@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,7 +76,7 @@ def strict_likelihood_cut(
     A cut completion ends with the end token, added unless already kept last;
     an uncut one is returned as it is.
     """
-    limit = F.ln(F.lit(threshold))
+    limit = F.lit(math.log(threshold) if threshold > 0 else -math.inf)
     kept = F.aggregate(
         logprobs,
         F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("kept")),

@@ -104,12 +104,13 @@ def conform_problems(df: DataFrame) -> DataFrame:
 def head_of_splits(
     df: DataFrame, order: str, train_size: int, test_fraction: float = fixed.TEST_FRACTION
 ) -> DataFrame:
-    """First rows of each split; a size of 0 keeps everything."""
+    """First rows of the train and test splits, other splits whole; a size of 0 keeps everything."""
     if train_size == 0:
         return df
     train = df.where(F.col("split") == "train").orderBy(order).limit(train_size)
     test = df.where(F.col("split") == "test").orderBy(order).limit(int(train_size * test_fraction))
-    return train.unionByName(test)
+    others = df.where(~F.coalesce(F.col("split").isin("train", "test"), F.lit(False)))
+    return train.unionByName(test).unionByName(others)
 
 
 def from_date(df: DataFrame, column: str, start: str) -> DataFrame:
@@ -150,6 +151,18 @@ def test_quota(test_split: float, count: int, train_rows: Column) -> Column:
 
 
 def attach_code(problems: DataFrame, codes: DataFrame) -> DataFrame:
-    """Put rollout code on its problem by key, without the leading placeholder line."""
-    cleaned = codes.select(*PROBLEM_KEY, strip_prefix(F.col("code"), fixed.CODE_PLACEHOLDER).alias("code"))
-    return problems.drop("code").join(cleaned, [*PROBLEM_KEY])
+    """Put rollout code on its problem by key, without the leading placeholder line.
+
+    Every problem stays, without code if it has none; two codes for one problem are an error.
+    """
+    cleaned = (
+        codes.groupBy(*PROBLEM_KEY)
+        .agg(F.min("code").alias("code"), F.count("*").alias("_codes"))
+        .select(
+            *PROBLEM_KEY,
+            F.when(F.col("_codes") == 1, strip_prefix(F.col("code"), fixed.CODE_PLACEHOLDER))
+            .otherwise(F.raise_error(F.lit("a problem has more than one code")))
+            .alias("code"),
+        )
+    )
+    return problems.drop("code").join(cleaned, [*PROBLEM_KEY], "left")

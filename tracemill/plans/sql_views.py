@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tracemill.plans.views import CHAT_TURNS, CONTEST_DATE, RUN_STEPS
+from tracemill.plans.views import CONTEST_DATE
 
 VIEWS: dict[str, str] = {
     "v_raw": """
@@ -26,11 +26,11 @@ VIEWS: dict[str, str] = {
                CASE WHEN rating < 1000 THEN 'easy' WHEN rating < 2000 THEN 'medium' ELSE 'hard' END AS difficulty,
                '[]' AS public_test_cases, '[]' AS private_test_cases, '[]' AS metadata
         FROM v_dedup""",
-    "v_turns": f"""
-        SELECT conv_id, turn // {RUN_STEPS} AS run_id, turn % {RUN_STEPS} AS step, text,
+    "v_turns": """
+        SELECT conv_id, 0::BIGINT AS run_id, turn AS step, text,
                lag(text, 1) OVER w AS one_back, lag(text, 2) OVER w AS two_back
         FROM conversations
-        WINDOW w AS (PARTITION BY conv_id, turn // {RUN_STEPS} ORDER BY turn)""",
+        WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     "v_traj": """
         SELECT run_id, 0 AS future, conv_id AS episode_id, step,
                (conv_id % 40)::VARCHAR AS contest_id,
@@ -46,12 +46,12 @@ VIEWS: dict[str, str] = {
     "v_forked": """
         SELECT run_id, (episode_id % 3)::INT AS future, episode_id // 3 AS episode_id, step, code, suggested_completion
         FROM v_traj""",
-    "v_actions": f"""
-        SELECT turn // {RUN_STEPS} AS run_id, 0 AS future, conv_id AS episode_id, turn % {RUN_STEPS} AS step,
+    "v_actions": """
+        SELECT 0::BIGINT AS run_id, 0 AS future, conv_id AS episode_id, turn AS step,
                text AS reasoning, 1.0::DOUBLE / (1 + length(text)) AS accept_prob,
                CASE conv_id % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' ELSE 'finish' END AS action,
                ln(1.0::DOUBLE / (1 + length(text))) AS logprob
-        FROM conversations WHERE (turn % {RUN_STEPS}) % 3 = 2""",
+        FROM conversations WHERE turn % 3 = 2""",
     "v_results": """
         SELECT doc_id AS episode_id, quality::DOUBLE AS "pass@1" FROM labels""",
     "v_steps": """
@@ -146,8 +146,8 @@ VIEWS: dict[str, str] = {
                CASE conv_id % 4 WHEN 1 THEN '```python' || chr(10) || text || '```'
                     WHEN 2 THEN '```' || chr(10) || text WHEN 3 THEN text || '```tail' ELSE text END AS snippet
         FROM conversations""",
-    "v_chat": f"""
-        SELECT conv_id, turn // {CHAT_TURNS} AS part, turn, role, text FROM conversations""",
+    "v_chat": """
+        SELECT conv_id, turn, role, text FROM conversations""",
 }
 
 

@@ -264,11 +264,11 @@ TURN = f"'{fixed.CHAT_HEADER_OPEN}' || role || {quote(fixed.CHAT_HEADER_CLOSE)}
 
 @query(
     "render_chat_x10",
-    f"""SELECT conv_id, part, '{fixed.CHAT_BEGIN}'
+    f"""SELECT conv_id, '{fixed.CHAT_BEGIN}'
         || string_agg({TURN}, '{fixed.CHAT_END_OF_TURN}' ORDER BY turn) || '{fixed.CHAT_END_OF_TURN}' AS rendered
-        FROM v_chat GROUP BY conv_id, part""",
+        FROM v_chat GROUP BY conv_id""",
 )
 def render_chat(spark, sf):
     return views.chats(spark, sf).select(
-        "conv_id", "part", prompts.render_chat(F.col("messages")).alias("rendered")
+        "conv_id", prompts.render_chat(F.col("messages")).alias("rendered")
     )

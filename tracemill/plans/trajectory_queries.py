@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill import fixed_values as fixed
-from tracemill.functions.arrays import join_items, whole_div
+from tracemill.functions.arrays import join_items
 from tracemill.functions.text import strip_prefix
 from tracemill.operators import curation, episodes, metrics, quality
 from tracemill.operators.scale import first_per_key
@@ -259,7 +259,7 @@ def audit_table(spark, sf):
 
 def rollout_codes(spark, sf):
     """Final code of the first episode of each problem, every other one with the placeholder line."""
-    steps = views.trajectories(spark, sf).where(F.col("run_id") == 0)
+    steps = views.trajectories(spark, sf)
     final = episodes.latest(steps, ["contest_id", "question_id", "code"])
     marked = F.when(
         F.pmod("episode_id", F.lit(2)) == 0, F.concat(F.lit(fixed.CODE_PLACEHOLDER), "code")
@@ -268,14 +268,14 @@ def rollout_codes(spark, sf):
 
 
 CODES = """SELECT contest_id, question_id, code FROM (
-    SELECT * FROM v_traj WHERE run_id = 0
+    SELECT * FROM v_traj
     QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY step DESC) = 1)
     QUALIFY row_number() OVER (PARTITION BY contest_id, question_id ORDER BY episode_id) = 1"""
 
 
 @query(
     "attach_code_j3",
-    "SELECT contest_id, question_id, question_title, difficulty, code FROM v_problems JOIN codes USING (contest_id, question_id)",
+    "SELECT contest_id, question_id, question_title, difficulty, code FROM v_problems LEFT JOIN codes USING (contest_id, question_id)",
     codes=CODES,
 )
 def attach_code(spark, sf):
@@ -401,14 +401,14 @@ def decision_to_code(spark, sf):
     "assistant_transition_j9",
     f"""SELECT {KEYS}, step, t.code, c.text AS suggested_completion, false AS done
         FROM v_traj t JOIN conversations c
-          ON c.conv_id = t.episode_id AND c.turn = t.run_id * {views.RUN_STEPS} + t.step""",
+          ON c.conv_id = t.episode_id AND c.turn = t.step""",
 )
 def assistant_transition(spark, sf):
     actions = views.table(spark, sf, "conversations").select(
-        whole_div(F.col("turn"), views.RUN_STEPS).alias("run_id"),
+        F.lit(0).cast("long").alias("run_id"),
         F.lit(0).alias("future"),
         F.col("conv_id").alias("episode_id"),
-        F.pmod("turn", F.lit(views.RUN_STEPS)).alias("step"),
+        F.col("turn").alias("step"),
         F.col("text").alias("code"),
     )
     return episodes.apply_assistant_actions(views.trajectories(spark, sf), actions)

@@ -1,8 +1,4 @@
-"""The engine's input tables, derived from the given parquet tables.
-
-Long conversations continue as a further run after ``RUN_STEPS`` steps: a
-run then holds at most ``MAX_CYCLES`` cycles of three steps.
-"""
+"""The engine's input tables, derived from the given parquet tables."""
 
 from __future__ import annotations
 
@@ -16,8 +12,6 @@ from tracemill.operators import curation
 from tracemill.operators.scale import spread
 from tracemill.operators.vocabulary import build_vocabulary, encode
 
-RUN_STEPS = 3 * fixed.MAX_CYCLES
-CHAT_TURNS = 64
 CONTEST_DATE = "2024-01-01 00:00:00"
 EOS_ID = 0
 PAD_ID = 0
@@ -63,13 +57,12 @@ def problems(spark: SparkSession, sf: str) -> DataFrame:
 def trajectories(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as states: code grows by what was typed or accepted."""
     turns = table(spark, sf, "conversations").select(
-        whole_div(F.col("turn"), RUN_STEPS).alias("run_id"),
+        F.lit(0).cast("long").alias("run_id"),
         F.lit(0).alias("future"),
         F.col("conv_id").alias("episode_id"),
-        F.pmod("turn", F.lit(RUN_STEPS)).alias("step"),
+        F.col("turn").alias("step"),
         "text",
     )
-    # At most RUN_STEPS rows share a window.
     order = Window.partitionBy("run_id", "episode_id").orderBy("step")
     phase, kind = F.pmod("step", F.lit(3)), F.pmod("episode_id", F.lit(3))
     retyped = F.when((kind == 1) & (F.col("step") > 0), F.coalesce(F.lag("text", 2).over(order), F.lit("")))
@@ -115,12 +108,12 @@ def infos(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.pmod("conv_id", F.lit(3))
     prob = F.lit(1.0) / (F.length("text") + 1)
     action = F.when(kind == 0, "accept").when(kind == 1, "reject").otherwise("finish")
-    step = F.pmod("turn", F.lit(RUN_STEPS))
+    step = F.col("turn")
     return (
         table(spark, sf, "conversations")
         .where(F.pmod(step, F.lit(3)) == 2)
         .select(
-            whole_div(F.col("turn"), RUN_STEPS).alias("run_id"),
+            F.lit(0).cast("long").alias("run_id"),
             F.lit(0).alias("future"),
             F.col("conv_id").alias("episode_id"),
             step.alias("step"),
@@ -282,14 +275,13 @@ def snippets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chats(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations in parts of at most ``CHAT_TURNS`` turns."""
+    """One chat per conversation."""
     return (
         table(spark, sf, "conversations")
-        .groupBy("conv_id", whole_div(F.col("turn"), CHAT_TURNS).alias("part"))
+        .groupBy("conv_id")
         .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_turns"))
         .select(
             "conv_id",
-            "part",
             F.transform(
                 "_turns",
                 lambda turn: F.struct(turn["role"].alias("role"), turn["text"].alias("content")),
