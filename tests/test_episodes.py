@@ -145,5 +145,7 @@ def test_audit_table(sample, spark):
 def test_attach_code(spark):
     problems = spark.createDataFrame([("1", "A", "old"), ("2", "B", "old")], "contest_id string, question_id string, code string")
     codes = spark.createDataFrame([("1", "A", "# YOUR CODE HERE\nx = 1")], "contest_id string, question_id string, code string")
-    assert [tuple(r) for r in curation.attach_code(problems, codes).collect()] == [("1", "A", "x = 1")]
+    assert [tuple(r) for r in curation.attach_code(problems, codes).collect()] == [
+        ("1", "A", "x = 1"), ("2", "B", None),
+    ]
     assert quality.unmatched_codes(problems, codes, ["contest_id", "question_id"]).first().violations == 1

@@ -130,16 +130,33 @@ def test_answer_example_checks_length(evaluate):
 
 def test_offsets_and_corrected_state(evaluate):
     spans = evaluate(tokens.offset_spans(F.col("t")), t=["ab", "c", "🙂🙂"])
-    assert [(s.start, s.end) for s in spans] == [(0, 2), (3, 4), (5, 7)]
+    assert [(s.start, s.end) for s in spans] == [(0, 2), (2, 3), (3, 5)]
     kept = tokens.kept_by_offset(F.col("s"), F.col("n"))
     schema = "s array<struct<start:int,end:int>>, n int"
     assert evaluate(kept, schema=schema, s=[(0, 5), (5, 12), (12, 20)], n=20) == [False, True, True]
     state = tokens.corrected_state(F.col("t"), F.col("k"))
     given = dict(t=["```python\na```", "x", "```python\nb", "c", "d"], k=[False, False, False, False, True])
-    assert evaluate(state, **given) == "b c"
+    assert evaluate(state, **given) == "bc"
     assert evaluate(state, t=["a", "b"], k=[False, True]) is None
 
 
+@pytest.mark.parametrize(
+    "text, count",
+    [
+        ("def f(x):\n\tif x:\n\n\t\treturn x\n", 7),
+        ("", 0),
+        ("  \t\n", 1),
+        ("a", 1),
+        (" a\u00a0b\u2003c \r\n\x0b\x0c d  ", 3),
+        ("🙂 $1 \\n \x00 \x1c", 5),
+    ],
+)
+def test_tokens_are_the_text(evaluate, text, count):
+    made = evaluate(tokens.tokenize(F.col("t")), t=text)
+    assert len(made) == count and "".join(made) == text
+    assert evaluate(tokens.detokenize(tokens.tokenize(F.col("t"))), t=text) == text
+
+
 def test_softmax(evaluate):
     logits = [1.0, 2.0, 700.0, -5.0]
     weights = np.exp(np.array(logits) - 700.0)

@@ -92,7 +92,7 @@ def decode(
     special_ids: Sequence[int] = (),
     own_texts: bool = False,
 ) -> DataFrame:
-    """Keys with ``text``: the tokens of ``ids`` joined by spaces, special ids left out."""
+    """Keys with ``text``: the tokens of ``ids`` joined, special ids left out."""
     kept = F.filter(ids, lambda token: ~token.isin(*special_ids)) if special_ids else F.col(ids)
     items = df.select(*keys, F.posexplode_outer(kept).alias("_pos", "token_id"))
     found = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "token"))

@@ -146,7 +146,7 @@ for _chooser in completions.CHOOSERS:
 
 @query(
     "chosen_text_t10",
-    """SELECT example_id, future, string_agg(token, ' ' ORDER BY i) || '```' AS correct_completion
+    """SELECT example_id, future, string_agg(token, '' ORDER BY i) || '```' AS correct_completion
        FROM (SELECT example_id, future, unnest(kept) AS id, generate_subscripts(kept, 1) AS i
              FROM (SELECT *, completion_ids[1:held + 1 + best] AS kept FROM v_best))
        LEFT JOIN v_vocab USING (id) GROUP BY example_id, future""",

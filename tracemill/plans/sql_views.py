@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 
+from tracemill.functions.tokens import TOKEN
 from tracemill.plans.views import CONTEST_DATE
 
+#: A text's tokens; their pattern reads the same in both engines.
+TOKENS_OF = f"regexp_extract_all({{}}, '{TOKEN}')"
+
 VIEWS: dict[str, str] = {
     "v_raw": """
         SELECT doc_id AS ordinal, doc_id % 40 AS "contestId", lang AS "index", source AS name,
@@ -70,9 +74,9 @@ VIEWS: dict[str, str] = {
                       PARTITION BY run_id, future, episode_id ORDER BY step
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS active
         FROM v_stops""",
-    "v_words": r"""
+    "v_words": f"""
         SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS pos
-        FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS toks
+        FROM (SELECT doc_id, {TOKENS_OF.format('text')} AS toks
               FROM documents)""",
     "v_vocab": """
         SELECT token, count(*) AS frequency,
@@ -126,14 +130,14 @@ VIEWS: dict[str, str] = {
         FROM v_sft""",
     "v_offset_tokens": """
         SELECT doc_id, pos, token, id,
-               sum(length(token) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS end_at
+               sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos) AS end_at
         FROM (SELECT doc_id, pos + 2 AS pos, token, id FROM v_ids
               UNION ALL SELECT doc_id, 0, '```python' || chr(10) || 'seed```', -1 FROM documents
               UNION ALL SELECT doc_id, 1, '```python' || chr(10), -2 FROM documents)""",
     "v_prompts": """
         SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN whole || '<|eot_id|>'
                             ELSE substr(whole, 1, length(whole) // 2) END AS state_prompt
-        FROM (SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS whole FROM v_offset_tokens GROUP BY doc_id)""",
+        FROM (SELECT doc_id, string_agg(token, '' ORDER BY pos) AS whole FROM v_offset_tokens GROUP BY doc_id)""",
     "v_offsets": """
         SELECT *, length(state_prompt) AS state_length
         FROM v_offset_tokens JOIN v_prompts USING (doc_id)""",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracemill import fixed_values as fixed
 from tracemill.functions import tokens
-from tracemill.functions.arrays import join_items
+from tracemill.functions.arrays import head, join_items
 from tracemill.operators import examples, metrics, quality
 from tracemill.operators.vocabulary import decode
 from tracemill.plans import views
@@ -36,7 +36,7 @@ def vocabulary(spark, sf):
     return views.vocabulary(spark, sf)
 
 
-@query("decode_t2", "SELECT doc_id, array_to_string(tokens, ' ') AS text FROM v_tokens")
+@query("decode_t2", "SELECT doc_id, array_to_string(tokens, '') AS text FROM v_tokens")
 def decode_ids(spark, sf):
     """Decode with an end token put after each document, to be skipped."""
     rows = views.token_ids(spark, sf).select("doc_id", F.array_append("ids", F.lit(EOS_ID)).alias("ids"))
@@ -156,7 +156,7 @@ def random_length_cut(spark, sf):
 
 @query(
     "resample_state_o5",
-    f"""SELECT doc_id, array_to_string(tokens[1:CASE WHEN len(tokens) = 0 THEN 0 ELSE {DOC_DRAW} % len(tokens) END], ' ')
+    f"""SELECT doc_id, array_to_string(tokens[1:CASE WHEN len(tokens) = 0 THEN 0 ELSE {DOC_DRAW} % len(tokens) END], '')
         AS state FROM v_tokens""",
 )
 def resample_state(spark, sf):
@@ -256,7 +256,7 @@ def answer_example(spark, sf):
 
 KEPT_IDS = """SELECT doc_id, array_to_string(list(CASE WHEN kept THEN id ELSE -100 END ORDER BY pos), ',') AS labels,
     NOT bool_or(kept) AS throwout, any_value(state_prompt) AS state_prompt,
-    CASE WHEN bool_or(kept) THEN coalesce(string_agg(token, ' ' ORDER BY pos) FILTER (pos < first_kept), '') END AS before
+    CASE WHEN bool_or(kept) THEN coalesce(string_agg(token, '' ORDER BY pos) FILTER (pos < first_kept), '') END AS before
     FROM v_kept GROUP BY doc_id"""
 
 
@@ -335,11 +335,15 @@ def states_without_tokens(spark, sf):
 
 @query(
     "decode_mismatches_q6",
-    r"""SELECT doc_id, array_to_string(tokens, ' ') AS cleaned, text AS code
-        FROM v_tokens JOIN documents USING (doc_id) WHERE array_to_string(tokens, ' ') <> text""",
+    """SELECT doc_id, array_to_string(tokens[1:len(tokens) - 1], '') AS cleaned, text AS code
+       FROM v_tokens JOIN documents USING (doc_id) WHERE doc_id % 7 = 0 AND len(tokens) > 0""",
 )
 def decode_mismatches(spark, sf):
-    """Documents whose spacing the tokens do not bring back."""
-    decoded = decode(views.token_ids(spark, sf), ["doc_id"], "ids", views.vocabulary(spark, sf), own_texts=True)
+    """Documents that their ids do not bring back: every seventh, as it is short of its last id."""
+    ids, short = F.col("ids"), F.pmod("doc_id", F.lit(7)) == 0
+    rows = views.token_ids(spark, sf).select(
+        "doc_id", F.when(short, head(ids, F.size(ids) - 1)).otherwise(ids).alias("ids")
+    )
+    decoded = decode(rows, ["doc_id"], "ids", views.vocabulary(spark, sf), own_texts=True)
     expected = views.table(spark, sf, "documents").select("doc_id", F.col("text").alias("code"))
     return quality.decode_mismatches(decoded, expected, ["doc_id"]).select("doc_id", "cleaned", "code")

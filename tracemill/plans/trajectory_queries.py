@@ -11,10 +11,11 @@ from tracemill.operators import curation, episodes, metrics, quality
 from tracemill.operators.scale import first_per_key
 from tracemill.plans import views
 from tracemill.plans.registry import query, round_all
+from tracemill.plans.sql_views import TOKENS_OF
 from tracemill.schemas import EPISODE_KEY, PROBLEM_KEY
 
 KEYS = "run_id, future, episode_id"
-COUNT_WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda t: t <> ''))"
+COUNT_WORDS = f"len({TOKENS_OF})"
 
 
 def words_sql(text: str) -> str:
@@ -323,12 +324,11 @@ def enrich_problems(spark, sf):
     return episodes.enrich_problems(views.trajectories(spark, sf), views.infos(spark, sf))
 
 
-SPLIT_WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda t: t <> '')"
 LAST_TWO = f"""SELECT * FROM (
     SELECT *, lag(code, 1) OVER e AS code_1, row_number() OVER (PARTITION BY {KEYS} ORDER BY step DESC) AS back
     FROM v_forked WINDOW e AS (PARTITION BY {KEYS} ORDER BY step)) WHERE back = 1"""
 NEXT_STATES = f"""SELECT {KEYS}, code,
-    array_to_string({SPLIT_WORDS.format('code')}[1:len({SPLIT_WORDS.format('code_1')}) + 10], ' ') AS next_state
+    array_to_string({TOKENS_OF.format('code')}[1:len({TOKENS_OF.format('code_1')}) + 10], '') AS next_state
     FROM last_two"""
 
 
