@@ -80,6 +80,12 @@ def test_action_ratios(sample, spark):
     assert math.isclose(latest.finish_ratio, 1 / 3)
 
 
+def test_accept_ratio_takes_first_decisions(spark):
+    rows = [(0, 2, "accept"), (0, 5, "reject"), (0, 8, "reject"), (1, 2, "accept"), (2, 2, None)]
+    row = metrics.accept_ratio(spark.createDataFrame(rows, "episode_id int, step int, action string")).first()
+    assert row.mean_accept == 1.0 and row.n == 2
+
+
 def test_discounted_pass_rate(sample, spark):
     results = spark.createDataFrame([(0, 1.0), (1, 0.5), (2, None)], schemas.RESULTS)
     scores = {r.episode_id: r.score for r in metrics.discounted_scores(sample[0], results).collect()}

@@ -89,6 +89,8 @@ def test_next_token_probabilities(spark):
     assert [r.pos for r in kept.collect()] == [2]
     none = lengths.withColumn("remaining", F.lit(0))
     assert completions.last_positions(kept, none, ["example_id"]).count() == 0
+    early = completions.next_token_probabilities(rows, ["example_id"], lengths=lengths)
+    assert sorted(map(tuple, early.collect())) == sorted(map(tuple, kept.collect()))
 
 
 @pytest.mark.parametrize("size, head_ranks", [(0, 0), (0, 2), (0, 1000), (1 << 20, 2)])

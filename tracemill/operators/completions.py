@@ -91,14 +91,25 @@ def sample_weights(df: DataFrame, strategy: str, temperature: float, advantage:
 
 
 def next_token_probabilities(
-    logits: DataFrame, keys: list[str], position: str = "pos", token: str = "token_id", vector: str = "logits"
+    logits: DataFrame,
+    keys: list[str],
+    position: str = "pos",
+    token: str = "token_id",
+    vector: str = "logits",
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
     """Probability of each token given the logits one position before it.
 
+    With ``lengths`` only at the positions ``last_positions`` asks for; they are
+    found on narrow columns, before any logits are met.
+
     A position meets its predecessor by an equi-join on key and position, which
     spreads a long sequence like any other rows.
     """
-    targets = logits.select(*keys, (F.col(position) - 1).alias("_at"), F.col(token).alias("_token"))
+    targets = logits.select(*keys, position, F.col(token).alias("_token"))
+    if lengths is not None:
+        targets = last_positions(targets, lengths, keys, position)
+    targets = targets.select(*keys, (F.col(position) - 1).alias("_at"), "_token")
     givers = logits.select(*keys, F.col(position).alias("_at"), vector)
     return givers.join(targets, [*keys, "_at"]).select(
         *keys,

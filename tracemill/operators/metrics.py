@@ -50,8 +50,10 @@ def latest_action_ratios(infos: DataFrame) -> DataFrame:
 
 
 def accept_ratio(infos: DataFrame) -> DataFrame:
+    """Over the first decision of every episode and future, which is made at step 2."""
+    first = infos.where(F.col("step") == 2)
     accepted = F.when(F.col("action").isNotNull(), (F.col("action") == "accept").cast("double"))
-    return mean_sem_count(infos, accepted, "accept")
+    return mean_sem_count(first, accepted, "accept")
 
 
 def numeric_means(infos: DataFrame, skip: Sequence[str] = ()) -> DataFrame:

@@ -216,5 +216,4 @@ def next_token_prob(spark, sf):
     """Probabilities of the last five tokens of each sequence of logits."""
     rows = views.logits(spark, sf)
     lengths = rows.groupBy("example_id").agg(F.count("*").alias("n_tokens")).withColumn("remaining", F.lit(5))
-    probs = completions.next_token_probabilities(rows, ["example_id"])
-    return round_all(completions.last_positions(probs, lengths, ["example_id"]))
+    return round_all(completions.next_token_probabilities(rows, ["example_id"], lengths=lengths))

@@ -135,7 +135,7 @@ def sem_sql(value: str, name: str, source: str) -> str:
         count({value}) AS n FROM {source}"""
 
 
-@query("accept_ratio_a4", sem_sql("(action = 'accept')::INT::DOUBLE", "accept", "v_actions"))
+@query("accept_ratio_a4", sem_sql("(action = 'accept')::INT::DOUBLE", "accept", "(SELECT * FROM v_actions WHERE step = 2)"))
 def accept_ratio(spark, sf):
     return round_all(metrics.accept_ratio(views.infos(spark, sf)))
 
