@@ -58,8 +58,9 @@ def climb(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Jumps of 1, 2, 4, ... messages upward, and depth and path score of every message.
 
     Each round joins the jump table to itself, so a path of n messages takes
-    log2(n) rounds and no round holds more than one row per message. Every
-    round is staged. A cycle has no root; it is an error.
+    log2(n) rounds and no round holds more than one row per message; messages
+    that have reached their root are not joined again. Every round is staged. A
+    cycle has no root; it is an error.
     """
     narrow = messages.select("_tree", "_node", "_parent", "_score")
     there = narrow.select("_tree", F.col("_node").alias("_parent"), F.col("_node").alias("_up"))
@@ -83,16 +84,14 @@ def climb(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             F.col("_depth").alias("_more"),
             F.col("_total").alias("_above"),
         )
-        table = stage(
-            table.join(above, ["_tree", "_up"], "left").select(
-                "_tree",
-                "_node",
-                F.col("_next").alias("_up"),
-                (F.col("_depth") + F.coalesce("_more", F.lit(0))).alias("_depth"),
-                (F.col("_total") + F.coalesce("_above", F.lit(0.0))).alias("_total"),
-            ),
-            "jump",
+        higher = table.where(F.col("_up").isNotNull()).join(above, ["_tree", "_up"]).select(
+            "_tree",
+            "_node",
+            F.col("_next").alias("_up"),
+            (F.col("_depth") + F.col("_more")).alias("_depth"),
+            (F.col("_total") + F.col("_above")).alias("_total"),
         )
+        table = stage(table.where(F.col("_up").isNull()).unionByName(higher), "jump")
         jumps.append(table)
     return jumps, table.drop("_up")
 
