@@ -75,3 +75,33 @@ def test_contexts_find_more(spark_llm):
     assert spans[last - 3] == [(16, 2, 24)] and rows[last - 3]["n_card"] == 0
     assert spans[last - 2] == [] and spans[last - 1] == [(16, 2, 20)]
     assert pii.find_personal_data(documents(spark_llm, [])).count() == 0
+
+
+def test_every_kind_of_seed_teaches_its_context(spark_llm):
+    texts = [f"please ring home +1 (200) 555-{1000 + i} today" for i in range(8)]
+    texts += [f"write to jane.doe{i}@example.org now" for i in range(8)]
+    texts += [f"the server listens at 10.3.{i}.44 again" for i in range(8)]
+    texts += [f"paid by card 4111 1111 {i:04d} {d:04d} then" for i in range(3) for d in range(60) if luhn(f"41111111{i:04d}{d:04d}")]
+    unseen = [
+        ("please ring home (838) 555-7235 today", (17, 3, 31)),
+        ("please ring home 55 72 35 today", (17, 3, 25)),
+        ("please write to jane(at)example.org now", (16, 0, 35)),
+        ("please write to jane at example dot org now", (16, 0, 39)),
+        ("the server listens at fe80::1 again", (22, 1, 29)),
+        ("paid by card 4111 1111 1111 1112 then", (13, 2, 32)),
+    ]
+    plain = ["please ring the bell 12 times", "some jane(at)example.org now"]
+    rows = {
+        r["doc_id"]: [tuple(s) for s in r["spans"]]
+        for r in pii.find_personal_data(documents(spark_llm, [*texts, *[text for text, _ in unseen], *plain])).collect()
+    }
+    assert [rows[len(texts) + i] for i in range(len(unseen))] == [[span] for _, span in unseen]
+    assert [rows[len(texts) + len(unseen) + i] for i in range(len(plain))] == [[], []]
+
+
+def test_candidates_stand_outside_base_values(spark_llm):
+    text = "12 or +1 (200) 555-1000 or 7\uf8fd7 id5 x@y.z,q9 4111 1111 1111 1111 or 1a"
+    row = pii.base_spans(documents(spark_llm, [text]), "text").first()
+    seeds = {(o["start"], o["end"], o["value"]) for o in row["occurrences"] if o["kind"] is not None}
+    assert seeds == {(start, end, text[start:end]) for start, _, end in brute(text)}
+    assert [o["value"] for o in row["occurrences"] if o["kind"] is None] == ["12", "7\uf8fd7", "id5", "1a"]

@@ -1,10 +1,10 @@
 """Personal data: base patterns, and contexts learned from what they find.
 
-The values that base patterns find are seeds. The two words before a value are
-its lexical context; contexts and values form a graph that is scored in rounds:
-a context is as good as the values it introduces, a value as the best context
-it follows. Good contexts then mark identifiers no base pattern knows. Built-in
-functions only.
+The values that base patterns find are seeds, all of them and whole. The two
+words before a value are its lexical context; contexts and values form a graph
+that is scored in rounds: a context is as good as the values it introduces, a
+value as the best context it follows. Good contexts then mark identifiers no
+base pattern knows. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -12,14 +12,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.arrays import scan
+from tracemill.functions.arrays import bind, scan
 from tracemill.llm.common import stage
 
 KINDS = ("email", "ip", "card", "phone")
 #: A code point that stands for a joint inside an address or number; texts that hold it get another.
 JOINT, OTHER = "\uf8ff", "\uf8fe"
-#: What may be an identifier: a word with so many digits in a row.
-CANDIDATE = r"(?:\G|(?<!\S))(?=\S*?[0-9]{4})\S++"
+#: Stands for every code point of a base value where candidates and contexts are sought.
+MASK = "\uf8fd"
+_NUMBER = r"[+(]*+[0-9][0-9().+-]*+"
+_SIGN = r"[0-9@]|[A-Za-z0-9][._:(\[{][A-Za-z0-9]"
+_AT, _DOT = r"[(\[{]?(?i:at)[)\]}]?", r"[(\[{]?(?i:dot)[)\]}]?"
+#: What may be an identifier outside base values: numbers in groups, a spelled-out
+#: address, or a word with a digit, an at sign or a joint between letters.
+CANDIDATE = (
+    rf"(?<!\S)(?:{_NUMBER}(?!\S)(?: {_NUMBER}(?!\S))*+(?: {_NUMBER}[,;:!?\"'>\]}}]++(?!\S))?"
+    rf"|[A-Za-z0-9._%+-]++ {_AT} [A-Za-z0-9.-]++(?: {_DOT} [A-Za-z0-9-]++)++(?!\S)"
+    rf"|[A-Za-z0-9._%+-]++ [(\[{{](?i:at)[)\]}}] [A-Za-z0-9.-]++(?!\S)"
+    rf"|(?=[^\s{MASK}]*?(?:{_SIGN}))[^\s{MASK}]++(?!\S))"
+)
+MAY_HOLD = rf"{_SIGN}|\s{_AT}\s"
 ROUNDS = 3
 #: Values a context must introduce before it weighs half.
 SMOOTHING = 2.0
@@ -104,24 +116,61 @@ def phones(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(r"\+[0-9]")), found).otherwise(_none())
 
 
-def context_of(before: Column) -> Column:
-    """The last two words before a candidate, lower-cased with digits as 0; null without two."""
-    tail = F.substr(before, F.greatest(F.length(before) - (2 * MAX_WORD + 10), F.lit(0)) + 1)
+def masked(text: Column, base: Column) -> Column:
+    """The text with every code point of its base values (sorted (start, kind, end)) as ``MASK``."""
+    ends = F.transform(base, lambda span: span["end"])
+    reached = scan(ends, F.lit(0), lambda most, end: F.greatest(most, end), "int")
+
+    def piece(span: Column, at: Column, plain: Column) -> Column:
+        gap = F.greatest(span["start"] - at, F.lit(0))
+        own = F.greatest(span["end"] - F.greatest(span["start"], at), F.lit(0))
+        return F.concat(F.substr(plain, at + 1, gap), F.repeat(F.lit(MASK), own))
+
+    def cover(plain: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(reached, 1, F.size(base) - 1))
+        pieces = F.zip_with(base, before, lambda span, at: piece(span, at, plain))
+        return F.concat(F.array_join(pieces, ""), F.substr(plain, F.array_max(ends) + 1))
+
+    plain = F.translate(text, MASK, OTHER)
+    return F.when(F.size(base) > 0, bind(plain, cover)).otherwise(plain)
+
+
+def context_at(hidden: Column, start: Column) -> Column:
+    """The last two words before a place, lower-cased with digits as 0; null without two.
+
+    ``hidden`` is the masked text: a base value counts as one word, whatever it is.
+    """
+    span = 4 * MAX_WORD + 10
+    before = F.substr(hidden, F.greatest(start - span, F.lit(0)) + 1, F.least(start, F.lit(span)))
+    tail = F.regexp_replace(before, f"{MASK}++", MASK)
     words = F.regexp_extract(tail, rf"(?:^|\s)(\S{{1,{MAX_WORD}}}\s+\S{{1,{MAX_WORD}}})\s+$", 1)
     plain = F.lower(F.regexp_replace(F.regexp_replace(words, "[0-9]", "0"), r"\s+", " "))
     return F.when(plain != "", plain)
 
 
-def candidates(text: Column) -> Column:
-    """Words that may be identifiers, as (start, end, value, context)."""
-    pieces = F.split(text, CANDIDATE, -1)
-    with_context = F.zip_with(
-        find_all(text, text, CANDIDATE),
-        F.slice(pieces, 1, F.size(pieces) - 1),
-        lambda span, before: F.struct(span["start"], span["end"], span["value"], context_of(before).alias("context")),
+def occurrences_of(text: Column, hidden: Column, base: Column) -> Column:
+    """Base values, whole and with their ``kind``, then candidates outside them, as (start, end, value, context, kind)."""
+    seeds = F.transform(
+        base,
+        lambda span: F.struct(
+            span["start"].alias("start"),
+            span["end"].alias("end"),
+            F.substr(text, span["start"] + 1, span["end"] - span["start"]).alias("value"),
+            context_at(hidden, span["start"]).alias("context"),
+            span["kind"].alias("kind"),
+        ),
+    )
+    more = F.transform(
+        find_all(hidden, text, CANDIDATE),
+        lambda span: F.struct(
+            span["start"].alias("start"),
+            span["end"].alias("end"),
+            span["value"].alias("value"),
+            context_at(hidden, span["start"]).alias("context"),
+            F.lit(None).cast("int").alias("kind"),
+        ),
     )
-    none = F.array().cast("array<struct<start: int, end: int, value: string, context: string>>")
-    return F.when(F.rlike(text, F.lit("[0-9]{4}")), with_context).otherwise(none)
+    return F.when(F.rlike(hidden, F.lit(MAY_HOLD)), F.concat(seeds, more)).otherwise(seeds)
 
 
 def _of_kind(kind: int, spans: Column) -> Column:
@@ -134,19 +183,23 @@ def _of_kind(kind: int, spans: Column) -> Column:
 
 
 def base_spans(df: DataFrame, text: str) -> DataFrame:
-    """Add ``base`` (sorted (start, kind, end)), ``n_email`` and so on, and ``candidates``."""
+    """Add ``base`` (sorted (start, kind, end)), ``n_email`` and so on, and ``occurrences``."""
     content = F.coalesce(F.col(text), F.lit(""))
     found = df.withColumns(
         {
             f"_{kind}": find(content)
             for kind, find in zip(KINDS, (emails, ips, cards, phones))
         }
-        | {"candidates": candidates(content)}
     )
     merged = F.concat(*[_of_kind(i, F.col(f"_{kind}")) for i, kind in enumerate(KINDS)])
-    return found.withColumns(
-        {"base": F.sort_array(merged)} | {f"n_{kind}": F.size(f"_{kind}").cast("long") for kind in KINDS}
-    ).drop(*[f"_{kind}" for kind in KINDS])
+    return (
+        found.withColumns(
+            {"base": F.sort_array(merged)} | {f"n_{kind}": F.size(f"_{kind}").cast("long") for kind in KINDS}
+        )
+        .withColumn("_hidden", masked(content, F.col("base")))
+        .withColumn("occurrences", occurrences_of(content, F.col("_hidden"), F.col("base")))
+        .drop("_hidden", *[f"_{kind}" for kind in KINDS])
+    )
 
 
 def score_contexts(occurrences: DataFrame) -> DataFrame:
@@ -206,23 +259,13 @@ def find_personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     ``base`` and ``spans`` are arrays of (start, kind, end) in code points, the
     end exclusive, sorted; kinds count in the order of ``KINDS``. ``spans``
     holds the base spans and the identifiers found by context, which overlap no
-    base span. The texts are read once; what follows works on candidates.
+    base span. The texts are read once; what follows works on base values and candidates.
     """
     rows = df.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text")
     )
     read = stage(base_spans(rows, "_text").drop("_text"), "base")
-    overlap = lambda span: (span["start"] < F.col("c.end")) & (span["end"] > F.col("c.start"))
-    occurrences = read.select("doc_id", "_hash", "base", F.explode("candidates").alias("c")).select(
-        "doc_id",
-        "_hash",
-        F.col("c.start").alias("start"),
-        F.col("c.end").alias("end"),
-        F.col("c.value").alias("value"),
-        F.col("c.context").alias("context"),
-        F.try_element_at(F.filter("base", overlap), F.lit(1))["kind"].alias("kind"),
-    )
-    occurrences = stage(occurrences, "candidates")
+    occurrences = read.select("doc_id", "_hash", F.explode("occurrences").alias("o")).select("doc_id", "_hash", "o.*")
     contexts = score_contexts(occurrences)
     found = (
         occurrences.where(F.col("kind").isNull())
@@ -232,6 +275,6 @@ def find_personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         .agg(F.collect_set(F.struct("start", "kind", "end")).alias("_found"))
         .withColumnsRenamed({"doc_id": "_doc", "_hash": "_mine"})
     )
-    joined = read.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_mine")), "left")
+    joined = read.drop("occurrences").join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_mine")), "left")
     more = F.when(F.col("_found").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "_found")))
     return joined.select("doc_id", *[f"n_{kind}" for kind in KINDS], "base", more.alias("spans"))
