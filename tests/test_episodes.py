@@ -155,3 +155,13 @@ def test_attach_code(spark):
         ("1", "A", "x = 1"), ("2", "B", None),
     ]
     assert quality.unmatched_codes(problems, codes, ["contest_id", "question_id"]).first().violations == 1
+
+
+def test_enrichment_keeps_every_episode(spark):
+    steps = [("r", e, 0, step, f"code{step}", "s" if step == 1 else None) for e, n in ((1, 4), (2, 2), (3, 1)) for step in range(n)]
+    trajectories = spark.createDataFrame(
+        steps, "run_id string, episode_id long, future int, step int, code string, suggested_completion string"
+    )
+    infos = spark.createDataFrame([("r", 1, 0, 2, "accept")], "run_id string, episode_id long, future int, step int, action string")
+    rows = sorted(tuple(r) for r in episodes.enrich_problems(trajectories, infos).collect())
+    assert rows == [("r", 1, "s```", "code3", True), ("r", 2, "s```", "code1", None), ("r", 3, None, "code0", None)]

@@ -249,7 +249,10 @@ def character_totals(trajectories: DataFrame) -> DataFrame:
 
 
 def enrich_problems(trajectories: DataFrame, infos: DataFrame) -> DataFrame:
-    """Per episode: first suggestion with closing fence, final code, was the first suggestion accepted?"""
+    """Per episode: first suggestion with closing fence, final code, was the first suggestion accepted?
+
+    Every episode has a row; what it did not come to, a suggestion or a decision, is null.
+    """
     base = trajectories.where(F.col("future") == 0)
     keys = ["run_id", "episode_id"]
     first = base.where(F.col("step") == 1).select(
@@ -259,7 +262,8 @@ def enrich_problems(trajectories: DataFrame, infos: DataFrame) -> DataFrame:
     accepted = infos.where((F.col("future") == 0) & (F.col("step") == 2)).select(
         *keys, (F.col("action") == "accept").alias("accepted")
     )
-    return first.join(final, keys).join(accepted, keys)
+    whole = final.join(first, keys, "left").join(accepted, keys, "left")
+    return whole.select(*keys, "correct_completion", "code", "accepted")
 
 
 def next_states(trajectories: DataFrame, extra: int = fixed.NEXT_STATE_TOKENS) -> DataFrame:
