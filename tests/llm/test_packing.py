@@ -84,3 +84,21 @@ def test_neighbours_share_a_window():
     for window, _, document, _, _ in rows:
         windows.setdefault(window, set()).add(document % 4)
     assert sum(len(topics) == 1 for topics in windows.values()) >= 8
+
+
+def test_like_documents_share_a_window_wherever_they_stand(spark_llm, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 16)
+    rng = np.random.default_rng(4)
+    groups = [" ".join(f"{''.join(rng.choice(list('abcdefghijklmnop'), 7))}" for _ in range(60)) for _ in range(24)]
+    # The four copies of a text stand far apart: one in each quarter of the table.
+    texts = [f"{text} {turn}" for turn in range(4) for text in groups]
+    windows = {}
+    for r in packing.pack(documents(spark_llm, texts).repartition(4, "doc_id")).collect():
+        windows.setdefault(r["doc_id"], set()).add(r["sequence_id"])
+    shared = [
+        bool(windows[i] & windows[j])
+        for i in range(len(texts))
+        for j in range(i)
+        if i % 24 == j % 24
+    ]
+    assert sum(shared) >= 0.75 * len(shared)

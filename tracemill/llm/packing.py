@@ -1,7 +1,8 @@
 """Packing documents into training windows next to what resembles them.
 
-Texts become token ids once and are staged. A shard is a run of documents up to
-a size; it holds a BM25 inverted index of its documents, weighted with document
+Texts become token ids once and are staged. Documents are ordered by the terms
+they share, so that like ones come together wherever they stood in the input. A
+shard is a run of that order up to a size; it holds a BM25 inverted index of its documents, weighted with document
 frequencies of the whole corpus. Documents longer than a window fill windows of
 their own; what is left of a document seeds a window, which its nearest unused
 neighbours fill, cut where the window ends.
@@ -27,8 +28,10 @@ END = 0
 #: A shard ends at so many documents or tokens left over, whichever comes first.
 SHARD_DOCS = 4096
 SHARD_TOKENS = 2_000_000
-#: Terms of a seed that are looked up: those that weigh most in it.
-QUERY_TERMS = 16
+#: Terms that name a document's place in the order, one after another; rare terms are likelier picks.
+PLACE_TERMS = 4
+#: A table has so many partitions at most; beyond, a partition holds more shards.
+MAX_PARTITIONS = 8192
 K1, B = 1.2, 0.75
 CACHE = 600_000
 PIECES = (
@@ -111,6 +114,8 @@ class Statistics:
 
     weights: np.ndarray
     mean_length: float
+    docs: int = 0
+    tokens: int = 0
 
 
 def corpus_statistics(tokens: DataFrame, kind: np.dtype, size: int) -> Statistics:
@@ -132,7 +137,44 @@ def corpus_statistics(tokens: DataFrame, kind: np.dtype, size: int) -> Statistic
         holding[row["term"]] = row["docs"]
     docs, total = int(holding[size]), int(holding[size + 1])
     weights = np.log1p((docs - holding[:size] + 0.5) / (holding[:size] + 0.5))
-    return Statistics(weights, max(1.0, total / max(1, docs)))
+    return Statistics(weights, max(1.0, total / max(1, docs)), docs, total + docs)
+
+
+def place_ranks(weights: np.ndarray) -> np.ndarray:
+    """A rank of every term for each of ``PLACE_TERMS`` picks.
+
+    Two documents pick the same least term with the chance of their likeness,
+    the weight of the terms they share over that of all their terms.
+    """
+    drawn = np.random.default_rng(10).random((PLACE_TERMS, len(weights)))
+    return -np.log1p(-drawn) / np.maximum(weights, 1e-9)
+
+
+def place_of(ids: np.ndarray, ranks: np.ndarray) -> bytes:
+    """The terms a document picks, as a key that sorts by the first, then the next; empty without terms."""
+    terms = term_counts(ids)[0]
+    return terms[ranks[:, terms].argmin(axis=1)].astype(">u4").tobytes() if len(terms) else b""
+
+
+def in_order(tokens: DataFrame, statistics: Statistics, kind: np.dtype) -> DataFrame:
+    """``doc_id, ids`` in the order of likeness, range partitioned: like documents share a shard at any size.
+
+    A place held by many documents is cut by their row numbers, so none is
+    too much for a task.
+    """
+    shared = tokens.sparkSession.sparkContext.broadcast(place_ranks(statistics.weights))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [place_of(np.frombuffer(ids, kind), shared.value) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(places, pa.binary())], names=["doc_id", "ids", "row", "place"]
+            )
+
+    shards = max(statistics.docs / SHARD_DOCS, statistics.tokens / SHARD_TOKENS)
+    parts = int(min(max(shards, 1), MAX_PARTITIONS))
+    placed = map_batches(tokens, place, "doc_id long, ids binary, row long, place binary")
+    return placed.repartitionByRange(parts, "place", "row").sortWithinPartitions("place", "row").select("doc_id", "ids")
 
 
 @dataclass
@@ -152,7 +194,7 @@ class Shard:
         return len(self.ids) >= SHARD_DOCS or self.tokens >= SHARD_TOKENS
 
     def index(self, statistics: Statistics) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Postings by term (bounds, documents, scores), and every document's query terms."""
+        """Postings by term (bounds, documents, scores), and every document's terms."""
         counted = [term_counts(ids[:-1]) for ids in self.ids]
         sizes = np.array([len(terms) for terms, _ in counted])
         owners = np.repeat(np.arange(len(counted)), sizes)
@@ -161,11 +203,7 @@ class Shard:
         lengths = np.array([len(ids) - 1 for ids in self.ids], np.float64)
         longer = K1 * (1 - B + B * lengths / statistics.mean_length)
         scores = statistics.weights[terms] * times * (K1 + 1) / (times + longer[owners])
-        ends = np.cumsum(sizes)
-        queries = []
-        for end, size in zip(ends, sizes):
-            mine, worth = terms[end - size : end], scores[end - size : end]
-            queries.append(mine[np.argpartition(-worth, QUERY_TERMS)[:QUERY_TERMS]] if size > QUERY_TERMS else mine)
+        queries = np.split(terms, np.cumsum(sizes)[:-1])
         order = np.argsort(terms, kind="stable")
         bounds = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(statistics.weights)))])
         return bounds, owners[order], scores[order], queries
@@ -234,8 +272,10 @@ def pack(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text:
     path = path or byte_bpe_path()
     encoder = Encoder(path)
     kind, size = np.dtype(encoder.kind), encoder.size
-    tokens = stage(tokenize(docs, path, doc_id, text), "tokens")
-    shared = docs.sparkSession.sparkContext.broadcast(corpus_statistics(tokens, kind, size))
+    numbered = tokenize(docs, path, doc_id, text).withColumn("row", F.monotonically_increasing_id())
+    tokens = stage(numbered, "tokens")
+    measured = corpus_statistics(tokens, kind, size)
+    shared = docs.sparkSession.sparkContext.broadcast(measured)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         statistics = shared.value
@@ -267,4 +307,4 @@ def pack(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text:
                     yield from flush()
         yield from flush()
 
-    return map_batches(tokens.select("doc_id", "ids"), fill, PIECES)
+    return map_batches(in_order(tokens, measured, kind), fill, PIECES)
