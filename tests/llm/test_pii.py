@@ -100,7 +100,7 @@ def test_every_kind_of_seed_teaches_its_context(spark_llm):
 
 
 def test_candidates_stand_outside_base_values(spark_llm):
-    text = "12 or +1 (200) 555-1000 or 7\uf8fd7 id5 x@y.z,q9 4111 1111 1111 1111 or 1a"
+    text = "12 or +1 (200) 555-1000 or 7\uf8fd7 id5 x@y.z,q9 and 4111 1111 1111 1111 or 1a"
     row = pii.base_spans(documents(spark_llm, [text]), "text").first()
     seeds = {(o["start"], o["end"], o["value"]) for o in row["occurrences"] if o["kind"] is not None}
     assert seeds == {(start, end, text[start:end]) for start, _, end in brute(text)}
