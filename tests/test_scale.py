@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import curation
 from tracemill.operators.scale import (
+    LAST,
+    MAX,
+    SUM,
+    XOR,
     first_per_key,
     global_rank,
     salted_join,
     take_by_hash,
     with_group_values,
     with_previous,
+    with_running,
 )
 
 
@@ -32,6 +37,32 @@ def test_previous_rows_across_blocks(spark):
         assert sorted(got.collect(), key=repr) == sorted(expected.collect(), key=repr)
 
 
+def test_running_values_across_blocks(spark):
+    df = rows_with_a_hot_key(spark)
+    # Gaps in the index, and values that are missing for longer than a block.
+    df = df.where(F.pmod("pos", F.lit(5)) != 3).withColumn("seen", F.when(F.pmod("pos", F.lit(40)) == 4, F.col("value")))
+    wanted = {
+        "total": (SUM, F.col("value")),
+        "mixed": (XOR, F.col("value")),
+        "most": (MAX, -F.col("value")),
+        "latest": (LAST, F.col("seen")),
+        "seen_total": (SUM, F.col("seen")),
+    }
+    plain = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    expected = df.select(
+        "*",
+        F.sum("value").over(plain).alias("total"),
+        F.bit_xor("value").over(plain).alias("mixed"),
+        F.max(-F.col("value")).over(plain).alias("most"),
+        F.last("seen", ignorenulls=True).over(plain).alias("latest"),
+        F.sum("seen").over(plain).alias("seen_total"),
+    )
+    for block in (1, 7, 1024):
+        got = with_running(df, ["key"], "pos", wanted, block)
+        assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert with_running(df.limit(0), ["key"], "pos", wanted).count() == 0
+
+
 def test_group_values_reach_every_block(spark):
     df = rows_with_a_hot_key(spark)
     groups = df.groupBy("key").agg(F.sum("value").alias("total"), F.max("pos").alias("last"))

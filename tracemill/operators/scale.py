@@ -8,7 +8,8 @@ lookups against a hot key go to salted copies.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,6 +60,66 @@ def with_previous(
     return spread.select("*", *added).where(F.col("_block") == home).drop("_block")
 
 
+class Running(NamedTuple):
+    """A running aggregate that can be taken block by block."""
+
+    #: Over the rows of a block up to a row, and over the blocks before one.
+    over: Callable[[Column], Column]
+    #: Of a whole block, from values and their index.
+    whole: Callable[[Column, Column], Column]
+    #: Of what came before a block and what the block has so far.
+    join: Callable[[Column, Column], Column]
+
+
+def _either(combine: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+    return lambda before, own: F.coalesce(combine(before, own), before, own)
+
+
+SUM = Running(F.sum, lambda value, index: F.sum(value), _either(lambda before, own: before + own))
+XOR = Running(F.bit_xor, lambda value, index: F.bit_xor(value), _either(lambda before, own: before.bitwiseXOR(own)))
+MAX = Running(F.max, lambda value, index: F.max(value), _either(F.greatest))
+#: The last value that is not null.
+LAST = Running(
+    lambda value: F.last(value, ignorenulls=True),
+    lambda value, index: F.max_by(value, F.when(value.isNotNull(), index)),
+    lambda before, own: F.coalesce(own, before),
+)
+
+
+def with_running(
+    df: DataFrame,
+    keys: Sequence[str],
+    index: str,
+    wanted: Mapping[str, tuple[Running, Column]],
+    block: int = BLOCK,
+) -> DataFrame:
+    """Add aggregates over all rows of a key up to and including each row: ``name -> (kind, expression)``.
+
+    The reach is unbounded, yet no task sorts a whole hot key: rows are put in
+    order per key and block of ``index``, and what came before a block is the
+    running aggregate of one value per block. ``index`` is a whole number from
+    0, unique within its key; gaps are allowed. Null values are passed over, and
+    keys are not null.
+    """
+    rows = df.withColumn("_block", block_of(index, block))
+    upto = Window.partitionBy(*keys, "_block").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_block").agg(
+        *[kind.whole(value, F.col(index)).alias(f"_of_{name}") for name, (kind, value) in wanted.items()]
+    )
+    earlier = totals.select(
+        *keys,
+        "_block",
+        *[kind.over(F.col(f"_of_{name}")).over(before).alias(f"_to_{name}") for name, (kind, _) in wanted.items()],
+    ).where("_block > 0")
+    running = rows.select(
+        "*", *[kind.over(value).over(upto).alias(f"_in_{name}") for name, (kind, value) in wanted.items()]
+    )
+    joined = running.join(earlier, [*keys, "_block"], "left")
+    added = [kind.join(F.col(f"_to_{name}"), F.col(f"_in_{name}")).alias(name) for name, (kind, _) in wanted.items()]
+    return joined.select(*df.columns, *added)
+
+
 def with_group_values(
     rows: DataFrame,
     groups: DataFrame,

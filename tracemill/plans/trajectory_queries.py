@@ -312,13 +312,11 @@ def strip_known_prefix(spark, sf):
 
 @query(
     "enrich_problems_j5",
-    f"""SELECT f.run_id, f.episode_id, f.suggested_completion || '```' AS correct_completion, l.code,
+    f"""SELECT l.run_id, l.episode_id, f.suggested_completion || '```' AS correct_completion, l.code,
                a.action = 'accept' AS accepted
-        FROM v_traj f
-        JOIN (SELECT * FROM v_traj QUALIFY row_number() OVER (PARTITION BY {KEYS} ORDER BY step DESC) = 1) l
-             USING (run_id, episode_id)
-        JOIN v_actions a ON a.run_id = f.run_id AND a.episode_id = f.episode_id AND a.step = 2
-        WHERE f.step = 1""",
+        FROM (SELECT * FROM v_traj QUALIFY row_number() OVER (PARTITION BY {KEYS} ORDER BY step DESC) = 1) l
+        LEFT JOIN v_traj f ON f.run_id = l.run_id AND f.episode_id = l.episode_id AND f.step = 1
+        LEFT JOIN v_actions a ON a.run_id = l.run_id AND a.episode_id = l.episode_id AND a.step = 2""",
 )
 def enrich_problems(spark, sf):
     return episodes.enrich_problems(views.trajectories(spark, sf), views.infos(spark, sf))
