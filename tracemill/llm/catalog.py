@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from tracemill.llm import queries_matches, queries_packing, queries_rows, queries_text  # noqa: F401
+from tracemill.llm import (  # noqa: F401
+    queries_audit,
+    queries_matches,
+    queries_packing,
+    queries_rows,
+    queries_text,
+)
 from tracemill.llm.registry import BUILDS, SQL
 
 __all__ = ["BUILDS", "SQL"]
