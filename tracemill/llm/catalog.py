@@ -8,6 +8,7 @@ from tracemill.llm import (  # noqa: F401
     queries_packing,
     queries_rows,
     queries_text,
+    queries_trie,
 )
 from tracemill.llm.registry import BUILDS, SQL
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontaminate, lines, minhash
+from tracemill.llm import decontaminate, lines, minhash, simhash
 from tracemill.llm.registry import query, table
 
 OP7_SQL = r"""
@@ -84,3 +84,11 @@ def fuzzy_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every document without the lines that like lines elsewhere make superfluous."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return lines.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op12_simhash_bytes")
+def simhash_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """The fingerprint of every document, and the component of like fingerprints it is in."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select("doc_id", simhash.show(F.col("fp")).alias("fingerprint"), "component_id")
