@@ -75,8 +75,19 @@ def fork_futures(trajectories: DataFrame, futures: int) -> DataFrame:
     return shared.withColumn("future", F.explode(F.sequence(F.lit(0), F.lit(futures - 1))))
 
 
-def keep_passed(rows: DataFrame, results: DataFrame, keys: Sequence[str] = ("episode_id",)) -> DataFrame:
-    """Rows of episodes graded fully correct; ``keys`` says what a grade is for."""
+def graded_by(results: DataFrame) -> list[str]:
+    """What a grade is for: as much of run, future and episode as the results carry."""
+    return [name for name in EPISODE_KEY if name in results.columns]
+
+
+def keep_passed(rows: DataFrame, results: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """Rows of episodes graded fully correct.
+
+    ``keys`` says what a grade is for. By default that is run, future and
+    episode, so futures of one episode go or stay by their own grades; results
+    that do not name a run or future hold for all of them.
+    """
+    keys = graded_by(results) if keys is None else keys
     passed = results.where(F.col("`pass@1`") == 1).select(*keys)
     spans = rows.groupBy(*EPISODE_KEY).agg(F.max("step").alias("last_step"))
     return with_group_values(
@@ -177,6 +188,19 @@ def active_after(decided: DataFrame) -> DataFrame:
     )
 
 
+def active_spans(trajectories: DataFrame, infos: DataFrame) -> DataFrame:
+    """Per episode: ``last_step``, the last one it took while active."""
+    stops = (
+        decided_cycles(trajectories, infos)
+        .groupBy(*EPISODE_KEY)
+        .agg(F.min("stop_step").alias("first_stop"))
+    )
+    spans = trajectories.groupBy(*EPISODE_KEY).agg(F.max("step").alias("last_step"))
+    return spans.join(stops, [*EPISODE_KEY], "left").select(
+        *EPISODE_KEY, F.least("last_step", "first_stop").alias("last_step")
+    )
+
+
 def with_activity(trajectories: DataFrame, infos: DataFrame) -> DataFrame:
     """Flag each step taken while its episode was active."""
     stops = (

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill import fixed_values as fixed
+from tracemill.functions.arrays import positions, whole_div
 from tracemill.functions.text import lines, suggested_tail
 from tracemill.functions.tokens import token_count
-from tracemill.operators.episodes import active_after, character_totals, decided_cycles, latest
+from tracemill.operators.episodes import (
+    active_after,
+    active_spans,
+    character_totals,
+    cycle_of,
+    decided_cycles,
+    graded_by,
+    latest,
+)
+from tracemill.operators.scale import SUM, with_group_values, with_running
 from tracemill.schemas import EPISODE_KEY
 
 
@@ -66,6 +76,100 @@ def numeric_means(infos: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     return infos.agg(*[F.avg(name).alias(f"mean_{name}") for name in numeric])
 
 
+#: Phases of a cycle after which the latest infos are looked at, as steps past the cycle's first.
+MOMENTS = {"assistant": 1, "acceptor": 2, "appender": 3}
+
+
+def latest_per_cycle(
+    trajectories: DataFrame,
+    infos: DataFrame,
+    values: Mapping[str, Column],
+    moment: str = "acceptor",
+    keys: Sequence[str] = ("run_id", "future"),
+) -> DataFrame:
+    """Sums over the latest info of every episode, at every cycle: ``*keys, cycle, episodes`` and ``values``.
+
+    ``values`` are expressions over one row of ``infos``; nulls count as nothing.
+    The latest info of an episode is that of its last step up to the moment, also
+    long after it stopped; a step without an info row has an info without values.
+    Cycles run until the last episode of the run stops.
+
+    Every active episode has a step of its own in each cycle, which is summed
+    there. One that has stopped brings along the info of its last step, which is
+    added once, at the first cycle past it, and carried from cycle to cycle as a
+    running sum: no row is made per episode and cycle, and nothing is taken out again.
+    """
+    if moment not in MOMENTS:
+        raise ValueError(f"unknown moment {moment!r}")
+    after = MOMENTS[moment]
+    spans = active_spans(trajectories, infos)
+    rows = infos.select(*EPISODE_KEY, "step", *[value.alias(name) for name, value in values.items()])
+    placed = with_group_values(rows, spans.withColumn("_to", F.col("last_step")), EPISODE_KEY, "step", "last_step")
+    sums = [F.sum(name).alias(name) for name in values]
+    # whole_div rounds towards zero, so it is asked of numbers from 0 only.
+    at_moment = (F.pmod("step", F.lit(3)) == after % 3) & (F.col("step") > 0) & (F.col("step") <= F.col("_to"))
+    fresh = placed.where(at_moment).groupBy(*keys, cycle_of(F.col("step")).alias("cycle")).agg(*sums)
+    stopped = (
+        placed.where(F.col("step") == F.col("_to"))
+        .groupBy(*keys, whole_div(F.col("step") + (3 - after), 3).alias("cycle"))
+        .agg(*[F.sum(name).alias(f"_kept_{name}") for name in values])
+    )
+    runs = spans.groupBy(*keys).agg(F.count("*").alias("episodes"), F.max("last_step").alias("_to"))
+    last_cycle = F.when(F.col("_to") > 0, cycle_of(F.col("_to"))).otherwise(-1)
+    cycles = runs.select(*keys, "episodes", F.explode(positions(last_cycle + 1)).alias("cycle")).withColumn(
+        "cycle", F.col("cycle").cast("long")
+    )
+    joined = cycles.join(fresh, [*keys, "cycle"], "left").join(stopped, [*keys, "cycle"], "left")
+    carried = with_running(joined, keys, "cycle", {f"_all_{name}": (SUM, F.col(f"_kept_{name}")) for name in values})
+    return carried.select(
+        *keys,
+        "cycle",
+        "episodes",
+        *[(F.coalesce(name, F.lit(0)) + F.coalesce(f"_all_{name}", F.lit(0))).alias(name) for name in values],
+    )
+
+
+def action_ratios_per_cycle(
+    trajectories: DataFrame,
+    infos: DataFrame,
+    actions: Sequence[str] = fixed.RATIO_ACTIONS,
+    keys: Sequence[str] = ("run_id", "future"),
+) -> DataFrame:
+    """Per cycle: the share of each action among the latest infos that have one; NULL where none has."""
+    counted = {action: (F.col("action") == action).cast("long") for action in actions}
+    counted["_any"] = F.col("action").isNotNull().cast("long")
+    totals = latest_per_cycle(trajectories, infos, counted, "acceptor", keys)
+    return totals.select(
+        *keys,
+        "cycle",
+        "episodes",
+        F.col("_any").alias("with_action"),
+        *[F.try_divide(F.col(action), F.col("_any")).alias(f"{action}_ratio") for action in actions],
+    )
+
+
+def numeric_means_per_cycle(
+    trajectories: DataFrame,
+    infos: DataFrame,
+    moment: str = "acceptor",
+    keys: Sequence[str] = ("run_id", "future"),
+    skip: Sequence[str] = (*EPISODE_KEY, "step"),
+) -> DataFrame:
+    """Per cycle: the mean of each numeric field over the latest infos that have it."""
+    names = [f.name for f in infos.schema if isinstance(f.dataType, T.NumericType) and f.name not in skip]
+    values = {}
+    for name in names:
+        values[f"_sum_{name}"] = F.col(name).cast("double")
+        values[f"_n_{name}"] = F.col(name).isNotNull().cast("long")
+    totals = latest_per_cycle(trajectories, infos, values, moment, keys)
+    return totals.select(
+        *keys,
+        "cycle",
+        "episodes",
+        *[F.try_divide(F.col(f"_sum_{name}"), F.col(f"_n_{name}")).alias(f"mean_{name}") for name in names],
+    )
+
+
 def action_lengths(trajectories: DataFrame) -> DataFrame:
     """Tokens the first suggestion adds to the code it was made for."""
     added = token_count(F.col("suggested_completion")) - token_count(F.col("code"))
@@ -96,9 +200,13 @@ def discounted_scores(
     trajectories: DataFrame,
     results: DataFrame,
     discount: float = fixed.DISCOUNT_PER_TOKEN,
-    keys: Sequence[str] = ("episode_id",),
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Per episode: a pass, discounted by characters read and written; ``keys`` says what a grade is for."""
+    """Per episode: a pass, discounted by characters read and written.
+
+    ``keys`` says what a grade is for: run, future and episode, or as much of it as the results carry.
+    """
+    keys = graded_by(results) if keys is None else keys
     weighted = (
         F.col("suggested_chars") * fixed.READING_CHAR_WEIGHT
         + F.col("appended_chars") * fixed.WRITING_CHAR_WEIGHT
@@ -115,7 +223,7 @@ def discounted_pass_rate(
     trajectories: DataFrame,
     results: DataFrame,
     discount: float = fixed.DISCOUNT_PER_TOKEN,
-    keys: Sequence[str] = ("episode_id",),
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
     scores = discounted_scores(trajectories, results, discount, keys)
     return mean_sem_count(scores, F.col("score"), "discounted_pass")

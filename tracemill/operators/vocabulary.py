@@ -1,15 +1,28 @@
-"""Vocabulary table, and token arrays to ids and back."""
+"""Vocabulary table, and token arrays to ids and back.
+
+A vocabulary that is measured to be small is looked up inside the row: whole
+Arrow arrays against a broadcast table, with no row per token, no join and no
+gathering. A larger one is met by join.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+import tracemill
 from tracemill.functions.tokens import detokenize
 from tracemill.operators.scale import global_rank, salted_join
 
+# Workers get this package's functions by value and need no copy of it.
+cloudpickle.register_pickle_by_value(tracemill)
+
 # A vocabulary measured to stay under this size is broadcast whole.
 BROADCAST_BYTES = 64 << 20
 ROW_BYTES = 64
@@ -38,15 +51,68 @@ def fits_broadcast(vocabulary: DataFrame) -> bool:
     return vocabulary.agg(size.alias("size")).first()["size"] <= BROADCAST_BYTES
 
 
+def item_lists(lists: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+    """The items of all lists in one array, and the offsets of the lists in it; a null list is empty."""
+    offsets = lists.offsets
+    first, last = offsets[0].as_py(), offsets[-1].as_py()
+    return lists.values.slice(first, last - first), pc.subtract(offsets, first)
+
+
+def _held(vocabulary: DataFrame) -> Callable[[], pa.Table]:
+    """The vocabulary as a broadcast Arrow table, opened in place by every task; measure it first."""
+    table = vocabulary.select("token", "token_id").toArrow().combine_chunks()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    content = vocabulary.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+    def opened() -> pa.Table:
+        return pa.ipc.open_stream(content.value).read_all().combine_chunks()
+
+    return opened
+
+
+class Lookup:
+    """Columns that read a vocabulary inside the row; ask ``fits_broadcast`` first."""
+
+    def __init__(self, vocabulary: DataFrame) -> None:
+        self._open = _held(vocabulary)
+        self._id_type = vocabulary.schema["token_id"].dataType
+
+    def ids(self, tokens: Column) -> Column:
+        """Ids of an array of tokens, null for a token that is unknown; no array gives an empty one."""
+        opened = self._open
+
+        def look_up(lists: pa.Array) -> pa.Array:
+            table = opened()
+            items, offsets = item_lists(lists)
+            places = pc.index_in(items, table.column("token").combine_chunks())
+            return pa.ListArray.from_arrays(offsets, pc.take(table.column("token_id").combine_chunks(), places))
+
+        return F.arrow_udf(look_up, T.ArrayType(self._id_type))(tokens)
+
+    def text(self, ids: Column) -> Column:
+        """The tokens of an array of ids, joined; ids that are unknown are left out, no array is no text."""
+        opened = self._open
+
+        def look_up(lists: pa.Array) -> pa.Array:
+            table = opened()
+            items, offsets = item_lists(lists)
+            known = table.column("token_id").combine_chunks()
+            places = pc.index_in(items.cast(known.type), known)
+            tokens = pc.fill_null(pc.take(table.column("token").combine_chunks(), places), "")
+            return pc.binary_join(pa.ListArray.from_arrays(offsets, tokens), "")
+
+        return F.arrow_udf(look_up, "string")(ids)
+
+
 def _look_up(items: DataFrame, keys: Sequence[str], vocabulary: DataFrame, by: str, own_texts: bool) -> DataFrame:
-    """Left join items to the vocabulary on ``token`` or ``token_id``.
+    """Left join items to a vocabulary past the broadcast size, on ``token`` or ``token_id``.
 
-    Past the broadcast size, frequent entries are still met by broadcast and
-    only the long tail is joined by shuffle.
+    Frequent entries are still met by broadcast and only the long tail is joined
+    by shuffle.
     """
     entries = vocabulary.select("token", "token_id")
-    if fits_broadcast(vocabulary):
-        return items.join(F.broadcast(entries), by, "left")
     is_head = (F.col("token_id") <= HEAD_RANKS) & (F.length("token") <= HEAD_TOKEN_CHARS)
     frequent = F.broadcast(entries.where(is_head))
     found = F.col("token_id" if by == "token" else "token").isNotNull()
@@ -70,6 +136,9 @@ def encode(
 
     ``own_texts``: the vocabulary was built from these very texts.
     """
+    if fits_broadcast(vocabulary):
+        kept = [F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("tokens")] if keep_tokens else []
+        return df.select(*keys, Lookup(vocabulary).ids(F.col(tokens)).alias("ids"), *kept)
     items = df.select(*keys, F.posexplode_outer(tokens).alias("_pos", "token"))
     fields = ["_pos", "token_id"] + (["token"] if keep_tokens else [])
     found = F.when(F.col("_pos").isNotNull(), F.struct(*fields))
@@ -94,6 +163,8 @@ def decode(
 ) -> DataFrame:
     """Keys with ``text``: the tokens of ``ids`` joined, special ids left out."""
     kept = F.filter(ids, lambda token: ~token.isin(*special_ids)) if special_ids else F.col(ids)
+    if fits_broadcast(vocabulary):
+        return df.select(*keys, Lookup(vocabulary).text(kept).alias("text"))
     items = df.select(*keys, F.posexplode_outer(kept).alias("_pos", "token_id"))
     found = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "token"))
     rows = (

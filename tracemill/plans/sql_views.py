@@ -50,6 +50,11 @@ VIEWS: dict[str, str] = {
     "v_forked": """
         SELECT run_id, (episode_id % 3)::INT AS future, episode_id // 3 AS episode_id, step, code, suggested_completion
         FROM v_traj""",
+    "v_runs": """
+        SELECT episode_id // 10 AS run_id, future, episode_id, step, code, suggested_completion FROM v_forked""",
+    "v_run_grades": """
+        SELECT DISTINCT run_id, future, episode_id, coalesce(quality::DOUBLE, 0.5) AS grade
+        FROM v_runs LEFT JOIN labels ON doc_id = 3 * episode_id + future""",
     "v_actions": """
         SELECT 0::BIGINT AS run_id, 0 AS future, conv_id AS episode_id, turn AS step,
                text AS reasoning, 1.0::DOUBLE / (1 + length(text)) AS accept_prob,

@@ -129,6 +129,42 @@ def latest_action_ratios(spark, sf):
     return round_all(metrics.latest_action_ratios(views.infos(spark, sf)))
 
 
+# The latest info of every episode at every cycle, spelled out: one row for each pair.
+SPANS = f"SELECT {KEYS}, max(step) FILTER (active) AS last_step FROM v_activity GROUP BY {KEYS}"
+LATEST = f"""SELECT s.run_id, s.future, c.cycle, a.action, a.accept_prob, a.logprob
+    FROM spans s
+    JOIN (SELECT run_id, future, unnest(range(0, max((last_step + 2) // 3))) AS cycle FROM spans GROUP BY run_id, future) c
+      USING (run_id, future)
+    LEFT JOIN v_actions a ON a.run_id = s.run_id AND a.future = s.future AND a.episode_id = s.episode_id
+      AND a.step = least(s.last_step, 3 * c.cycle + 2)"""
+
+
+@query(
+    "cycle_action_ratios_a3",
+    "SELECT run_id, future, cycle, count(*) AS episodes, count(action) AS with_action, "
+    + ", ".join(
+        f"round((count(*) FILTER (action = '{a}')) / nullif(count(action), 0), 6) AS {a}_ratio"
+        for a in fixed.RATIO_ACTIONS
+    )
+    + " FROM latest GROUP BY run_id, future, cycle",
+    spans=SPANS,
+    latest=LATEST,
+)
+def cycle_action_ratios(spark, sf):
+    return round_all(metrics.action_ratios_per_cycle(views.trajectories(spark, sf), views.infos(spark, sf)))
+
+
+@query(
+    "cycle_numeric_means_a5",
+    """SELECT run_id, future, cycle, count(*) AS episodes, round(avg(accept_prob), 6) AS mean_accept_prob,
+              round(avg(logprob), 6) AS mean_logprob FROM latest GROUP BY run_id, future, cycle""",
+    spans=SPANS,
+    latest=LATEST,
+)
+def cycle_numeric_means(spark, sf):
+    return round_all(metrics.numeric_means_per_cycle(views.trajectories(spark, sf), views.infos(spark, sf)))
+
+
 def sem_sql(value: str, name: str, source: str) -> str:
     return f"""SELECT round(avg({value}), 6) AS mean_{name},
         round(stddev_pop({value}) / nullif(sqrt(count({value})), 0), 6) AS sem_{name},

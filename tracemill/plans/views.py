@@ -104,6 +104,76 @@ def forked_trajectories(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Episodes of a run in the views of runs.
+RUN_EPISODES = 10
+
+
+def run_trajectories(spark: SparkSession, sf: str) -> DataFrame:
+    """The forked trajectories, dealt out to runs of ten episodes."""
+    forked = forked_trajectories(spark, sf)
+    return forked.withColumn("run_id", whole_div(F.col("episode_id"), RUN_EPISODES))
+
+
+def run_grades(spark: SparkSession, sf: str) -> DataFrame:
+    """``run_id, grades``: per run one list per future of its episodes' grades, in order of the episodes.
+
+    An episode without a label is half right.
+    """
+    marks = table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id"), "quality")
+    episode = whole_div(F.col("conv_id"), 3)
+    graded = (
+        table(spark, sf, "conversations")
+        .select("conv_id")
+        .distinct()
+        .join(marks, "conv_id", "left")
+        .select(
+            whole_div(episode, RUN_EPISODES).alias("run_id"),
+            F.pmod("conv_id", F.lit(3)).cast("int").alias("future"),
+            episode.alias("episode_id"),
+            F.coalesce(F.col("quality").cast("double"), F.lit(0.5)).alias("grade"),
+        )
+    )
+    lists = graded.groupBy("run_id", "future").agg(
+        F.sort_array(F.collect_list(F.struct("episode_id", "grade"))).alias("_list")
+    )
+    return (
+        lists.select("run_id", F.struct("future", F.col("_list.grade").alias("grades")).alias("_future"))
+        .groupBy("run_id")
+        .agg(F.sort_array(F.collect_list("_future")).alias("_futures"))
+        .select("run_id", F.col("_futures.grades").alias("grades"))
+    )
+
+
+def graded_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """``doc_id, payload``: labels as a grader's JSON records.
+
+    Of every eleven one breaks off, one has errors that break off, and one is missing.
+    """
+    doc, kind = F.col("doc_id"), F.pmod("doc_id", F.lit(11))
+    tests = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.pmod(doc, F.lit(4))), lambda i: F.pmod(i, F.lit(2)) <= F.col("quality")
+    )
+    errors = F.to_json(
+        F.struct(
+            F.when(F.col("toxic") == 1, -1).otherwise(-2).alias("error_code"),
+            F.when(F.col("toxic") == 1, "Time Limit").otherwise('Wrong "Answer"').alias("error_message"),
+        )
+    )
+    whole = F.to_json(
+        F.struct(
+            doc.alias("episode_id"),
+            F.array(F.concat(F.lit("print("), doc.cast("string"), F.lit(")\n"))).alias("code_list"),
+            tests.alias("graded_list"),
+            F.col("quality").cast("double").alias("pass@1"),
+            F.when(kind == 5, "{broken").when(F.col("quality") == 0, errors).alias("errors"),
+        )
+    )
+    cut = F.substring(whole, F.lit(1), F.length(whole) - 4)
+    return table(spark, sf, "labels").select(
+        "doc_id", F.when(kind == 3, cut).when(kind != 7, whole).alias("payload")
+    )
+
+
 def infos(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.pmod("conv_id", F.lit(3))
     prob = F.lit(1.0) / (F.length("text") + 1)
@@ -223,6 +293,33 @@ def decision_tokens(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def logprob_maps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """``user_id, day, all_logprobs``, and the vocabulary of its ids: that of all documents and decision tokens.
+
+    A token that came up several times has its best log probability.
+    """
+    tokens = decision_tokens(spark, sf).where(F.col("token_text").isNotNull())
+    of_documents = words(spark, sf).select(F.explode("tokens").alias("token"))
+    known = build_vocabulary(of_documents.union(tokens.select("token_text")))
+    best = tokens.groupBy("user_id", "day", F.col("token_text").alias("token")).agg(F.max("logprob").alias("logprob"))
+    ids = known.join(tokens.select(F.col("token_text").alias("token")).distinct(), "token").select("token", "token_id")
+    entries = F.collect_list(F.struct("token_id", "logprob"))
+    maps = best.join(ids, "token").groupBy("user_id", "day").agg(F.map_from_entries(entries).alias("all_logprobs"))
+    return maps, known
+
+
+def training_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """``doc_id, lang, state, correct_completion``: a document's first eighth, and all of it with a closing fence."""
+    texts = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    eighth = whole_div(F.length("text"), 8).cast("int")
+    return texts.select(
+        "doc_id",
+        "lang",
+        F.substring("text", F.lit(1), eighth).alias("state"),
+        F.concat("text", F.lit(fixed.FENCE)).alias("correct_completion"),
+    )
+
+
 def supervised_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Prompt, state and completion (state included): two quarters, then all the rest."""
     ids = F.col("ids")

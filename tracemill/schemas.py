@@ -64,6 +64,37 @@ RESULTS = T.StructType(
     ]
 )
 
+#: Grades of one problem as a grader writes them; ``_corrupt`` takes text that is no such record.
+CORRUPT = "_corrupt"
+
+ERRORS = T.StructType(
+    [
+        T.StructField("error", T.StringType()),
+        T.StructField("error_code", T.IntegerType()),
+        T.StructField("error_message", T.StringType()),
+        T.StructField("inputs", T.StringType()),
+        T.StructField("output", T.StringType()),
+        T.StructField("expected", T.StringType()),
+        T.StructField(CORRUPT, T.StringType()),
+    ]
+)
+
+GRADED = T.StructType(
+    [
+        T.StructField("run_id", T.LongType()),
+        T.StructField("future", T.IntegerType()),
+        T.StructField("episode_id", T.LongType()),
+        T.StructField("contest_id", T.StringType()),
+        T.StructField("question_id", T.StringType()),
+        T.StructField("output_list", T.ArrayType(T.StringType())),
+        T.StructField("code_list", T.ArrayType(T.StringType())),
+        T.StructField("graded_list", T.ArrayType(T.BooleanType())),
+        T.StructField("pass@1", T.DoubleType()),
+        T.StructField("errors", T.StringType()),
+        T.StructField(CORRUPT, T.StringType()),
+    ]
+)
+
 CHAT = T.ArrayType(
     T.StructType(
         [

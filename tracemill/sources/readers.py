@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill import schemas
+from tracemill.operators.grades import parse_errors, parse_graded
 
 
 def read_all_splits(spark: SparkSession, path: str) -> DataFrame:
@@ -45,3 +46,23 @@ def read_infos(spark: SparkSession, path: str) -> DataFrame:
 def read_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Graded problems from a JSON array, or with ``multi_line=False`` one object per line."""
     return spark.read.schema(schemas.RESULTS).json(path, multiLine=multi_line)
+
+
+def read_graded(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Graded problems with their lists and errors, malformed records included.
+
+    ``multi_line`` reads one JSON array per file, of which a broken file is one
+    malformed record; otherwise each line is an object. ``malformed`` holds the
+    text of what could not be read, ``malformed_errors`` that of errors that are
+    no record; both are null for good rows. Errors may be an object, or a string
+    that holds one.
+    """
+    text = spark.read.text(path, wholetext=multi_line).select(F.col("value"))
+    if multi_line:
+        # Elements are kept as text first, so that one bad element does not spoil its file.
+        parts = F.from_json("value", "array<string>")
+        text = text.select(F.explode(F.coalesce(parts, F.array("value"))).alias("value"))
+    else:
+        text = text.where(F.trim("value") != "")
+    rows = parse_graded(text, "value")
+    return parse_errors(rows.select("graded.*", "malformed"), "errors")
