@@ -21,6 +21,36 @@ def test_scan_crosses_runs(spark):
         assert row.r == np.cumprod(row.p).tolist() and len(row.r) == row.n
 
 
+def test_products_agree_with_the_fold(spark):
+    random = np.random.default_rng(2)
+    rows = [(i, random.uniform(0.0, 1.0, random.integers(0, 90)).tolist()) for i in range(300)]
+    rows += [(300 + i, [1.0, 0.0, 0.7][: i % 4] * i) for i in range(20)] + [(400, [])]
+    df = frame(spark, rows, "n int, p array<double>").repartition(3)
+    got = df.select(
+        tokens.running_product(F.col("p")).alias("a"),
+        tokens.folded_product(F.col("p")).alias("b"),
+        tokens.likely_prefix_length(F.col("p"), 0.3).alias("c"),
+        tokens.folded_prefix_length(F.col("p"), 0.3).alias("d"),
+    ).collect()
+    assert len(got) == len(rows)
+    for row in got:
+        assert len(row.a) == len(row.b) and np.allclose(row.a, row.b, rtol=0, atol=1e-12) and row.c == row.d
+
+
+def test_products_of_nulls(spark):
+    rows = [(1, [0.5, None, 0.5]), (2, None), (3, [0.5, 0.5]), (4, [None]), (5, [0.9]), (6, [])]
+    df = frame(spark, rows, "n int, p array<double>").repartition(1)
+    got = {
+        r.n: (r.a, r.c)
+        for r in df.select(
+            "n", tokens.running_product(F.col("p")).alias("a"), tokens.likely_prefix_length(F.col("p"), 0.4).alias("c")
+        ).collect()
+    }
+    assert got == {
+        1: ([0.5, None, None], 1), 2: (None, None), 3: ([0.5, 0.25], 1), 4: ([None], 0), 5: ([0.9], 1), 6: ([], 0),
+    }
+
+
 def test_scan_keeps_zero(evaluate):
     assert evaluate(tokens.running_product(F.col("p")), p=[0.5, 0.0, 0.9]) == [0.5, 0.0, 0.0]
 

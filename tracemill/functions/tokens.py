@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracemill import fixed_values as fixed
+from tracemill.functions import segments
 from tracemill.functions.arrays import bind, drop, head, positions, scan
 
 IGNORED = fixed.IGNORED_LABEL
@@ -48,11 +49,21 @@ def seeded_int(bound: Column | int, seed: int, *keys: Column) -> Column:
 # ----------------------------------------------------------------------- cuts
 
 def running_product(probabilities: Column) -> Column:
+    return segments.running_product(probabilities)
+
+
+def folded_product(probabilities: Column) -> Column:
+    """The same as a fold inside the JVM, for comparison; numbers are not null."""
     return scan(probabilities, F.lit(1.0), lambda left, right: left * right, "double")
 
 
 def likely_prefix_length(probabilities: Column, threshold: float = fixed.LIKELIHOOD_THRESHOLD) -> Column:
     """How many leading tokens keep the running product at or above ``threshold``."""
+    return segments.likely_prefix_length(probabilities, threshold)
+
+
+def folded_prefix_length(probabilities: Column, threshold: float = fixed.LIKELIHOOD_THRESHOLD) -> Column:
+    """The same as a fold inside the JVM, for comparison; numbers are not null."""
     return F.aggregate(
         probabilities,
         F.struct(F.lit(1.0).alias("product"), F.lit(0).alias("kept")),

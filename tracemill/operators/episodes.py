@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill import fixed_values as fixed
-from tracemill.functions.arrays import whole_div
-from tracemill.functions.tokens import detokenize, next_state_cut, tokenize
+from tracemill.functions.arrays import head, whole_div
+from tracemill.functions.tokens import detokenize, token_count, tokenize
 from tracemill.operators.scale import salted_join, with_group_values, with_previous
 from tracemill.schemas import EPISODE_KEY, PROBLEM_KEY
 
@@ -119,52 +119,72 @@ def with_two_back(trajectories: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = EPISODE_KEY) -> DataFrame:
-    """The last step of each episode; partial maxima keep one row per episode and task."""
-    picked = F.max_by(F.struct("step", *columns), "step").alias("_last")
-    return rows.groupBy(*keys).agg(picked).select(*keys, "_last.*")
+    """The last step of each episode.
+
+    The last step's number is found on keys alone, and rows are then met by a
+    semi join: texts are neither aggregated nor sorted by a window. Steps are
+    unique within their keys.
+    """
+    last = rows.groupBy(*keys).agg(F.max("step").alias("step"))
+    return rows.select(*keys, "step", *columns).join(last, [*keys, "step"], "left_semi")
 
 
 # ------------------------------------------------------------------- per cycle
 
-def cycles(trajectories: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """One row per episode and cycle with the state after each phase.
+def code_print(code: Column) -> Column:
+    """A fingerprint that stands for a code where only equality matters: its length and 128 bits."""
+    return F.struct(
+        F.length(code).alias("size"), F.xxhash64(code).alias("x"), F.xxhash64(F.lit(7), code).alias("y")
+    )
+
 
-    At most three rows meet per group, however long the episode is.
+def cycles(trajectories: DataFrame) -> DataFrame:
+    """``episode, cycle, appended, unchanged``: was there an append, and did it leave the code as decided?
+
+    Codes are compared by fingerprint, so only numbers are shuffled and hashed;
+    at most three rows meet per group, however long the episode is.
     """
-    phase = F.pmod(F.col("step"), F.lit(3))
-    return (
-        trajectories.where(F.col("step") > 0)
-        .withColumn("cycle", cycle_of(F.col("step")))
-        .groupBy(*EPISODE_KEY, "cycle")
-        .agg(
-            *[F.max(name).alias(name) for name in carry],
-            F.max(F.when(phase == 1, F.col("code"))).alias("code_before"),
-            F.max(F.when(phase == 1, F.col("suggested_completion"))).alias("suggestion"),
-            F.max(F.when(phase == 2, F.col("code"))).alias("code_decided"),
-            F.max(F.when(phase == 0, F.col("code"))).alias("code_after"),
-            # Lets a caller ask whether there was an append without reading code.
-            F.max(phase == 0).alias("appended"),
-        )
+    step = F.col("step")
+    phase = F.pmod(step, F.lit(3))
+    printed = code_print(F.col("code"))
+    narrow = trajectories.where(step > 0).select(
+        *EPISODE_KEY, cycle_of(step).alias("cycle"), phase.alias("_phase"), printed.alias("_print")
+    )
+    parts = ("size", "x", "y")
+    picked = {
+        f"_{name}_{part}": F.max(F.when(F.col("_phase") == at, F.col(f"_print.{part}")))
+        for name, at in (("decided", 2), ("after", 0))
+        for part in parts
+    }
+    met = narrow.groupBy(*EPISODE_KEY, "cycle").agg(
+        F.max(F.col("_phase") == 0).alias("appended"), *[value.alias(name) for name, value in picked.items()]
     )
+    same = [F.col(f"_decided_{part}") == F.col(f"_after_{part}") for part in parts]
+    # Codes that are null on either side are not equal.
+    unchanged = F.coalesce(same[0] & same[1] & same[2], F.lit(False))
+    return met.select(*EPISODE_KEY, "cycle", "appended", unchanged.alias("unchanged"))
 
 
-def acceptor_infos(infos: DataFrame) -> DataFrame:
+def acceptor_infos(infos: DataFrame, *columns: str) -> DataFrame:
     return infos.where(F.pmod(F.col("step"), F.lit(3)) == 2).select(
-        *EPISODE_KEY, cycle_of(F.col("step")).alias("cycle"), "action", "reasoning"
+        *EPISODE_KEY, cycle_of(F.col("step")).alias("cycle"), *columns
     )
 
 
-def decided_cycles(trajectories: DataFrame, infos: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+def decided_cycles(trajectories: DataFrame, infos: DataFrame) -> DataFrame:
     """Cycles with the acceptor's action and the step, if any, at which the episode stops there.
 
     An episode stops when the acceptor finishes or an append changes nothing.
     """
-    joined = cycles(trajectories, carry).join(acceptor_infos(infos), [*EPISODE_KEY, "cycle"], "left")
-    return joined.withColumn(
-        "stop_step",
-        F.when(F.col("action") == "finish", F.col("cycle") * 3 + 2).when(
-            F.col("code_after") == F.col("code_decided"), F.col("cycle") * 3 + 3
-        ),
+    joined = cycles(trajectories).join(acceptor_infos(infos, "action"), [*EPISODE_KEY, "cycle"], "left")
+    return joined.select(
+        *EPISODE_KEY,
+        "cycle",
+        "appended",
+        "action",
+        F.when(F.col("action") == "finish", F.col("cycle") * 3 + 2)
+        .when(F.col("unchanged"), F.col("cycle") * 3 + 3)
+        .alias("stop_step"),
     )
 
 
@@ -188,6 +208,14 @@ def active_after(decided: DataFrame) -> DataFrame:
     )
 
 
+def of_phase(trajectories: DataFrame, phase: int, *columns: Column | str) -> DataFrame:
+    """``episode, cycle`` and columns of the states after one phase, 0 being the append."""
+    step = F.col("step")
+    return trajectories.where((F.pmod(step, F.lit(3)) == phase) & (step > 0)).select(
+        *EPISODE_KEY, cycle_of(step).alias("cycle"), *columns
+    )
+
+
 def active_spans(trajectories: DataFrame, infos: DataFrame) -> DataFrame:
     """Per episode: ``last_step``, the last one it took while active."""
     stops = (
@@ -217,18 +245,26 @@ def with_activity(trajectories: DataFrame, infos: DataFrame) -> DataFrame:
 
 
 def audit_table(trajectories: DataFrame, infos: DataFrame, problems: DataFrame) -> DataFrame:
-    """What each still active cycle saw and did, next to its problem."""
-    decided = decided_cycles(trajectories, infos, carry=PROBLEM_KEY)
-    rows = active_after(decided).where("active")
+    """What each still active cycle saw and did, next to its problem.
+
+    Which cycles those are is found on numbers alone; texts then meet by the
+    cycle's key, each in the one row that already holds it.
+    """
+    keys = [*EPISODE_KEY, "cycle"]
+    active = active_after(decided_cycles(trajectories, infos)).where("active").select(*keys, "action")
+    shown = of_phase(
+        trajectories, 1, *PROBLEM_KEY, F.col("code").alias("code_before"), F.col("suggested_completion").alias("suggestion")
+    )
+    after = of_phase(trajectories, 0, F.col("code").alias("code_after"))
+    rows = active.join(shown, keys, "left").join(after, keys, "left").join(acceptor_infos(infos, "reasoning"), keys, "left")
     return salted_join(
         rows,
         problems.select(*PROBLEM_KEY, "question_content"),
         PROBLEM_KEY,
-        spread_on=[*EPISODE_KEY, "cycle"],
+        spread_on=keys,
         how="left",
     ).select(
-        *EPISODE_KEY,
-        "cycle",
+        *keys,
         F.col("question_content").alias("problem"),
         "code_before",
         "suggestion",
@@ -291,13 +327,24 @@ def enrich_problems(trajectories: DataFrame, infos: DataFrame) -> DataFrame:
 
 
 def next_states(trajectories: DataFrame, extra: int = fixed.NEXT_STATE_TOKENS) -> DataFrame:
-    """Per episode: final code, and its tokens up to ``extra`` past the code before the append."""
-    stepped = with_previous(
-        trajectories.select(*STEP_KEY, "code"), EPISODE_KEY, "step", {"code_before": (F.col("code"), 1)}
+    """Per episode: final code, and its tokens up to ``extra`` past the code before the append.
+
+    Of the state before the last only the number of its tokens is needed, so one
+    text per episode travels. Steps have no gaps; an episode of one state has no
+    state before it and a null next state.
+    """
+    ends = trajectories.groupBy(*EPISODE_KEY).agg(F.max("step").alias("step"))
+    before = ends.select(*EPISODE_KEY, (F.col("step") - 1).alias("step"))
+    counted = (
+        trajectories.select(*STEP_KEY, "code")
+        .join(before, [*STEP_KEY], "left_semi")
+        .select(*EPISODE_KEY, token_count(F.col("code")).alias("_before"))
+    )
+    last = latest(trajectories, ["code"]).drop("step")
+    cut = head(tokenize(F.col("code")), F.col("_before") + extra)
+    return last.join(counted, [*EPISODE_KEY], "left").select(
+        *EPISODE_KEY, "code", F.when(F.col("_before").isNotNull(), detokenize(cut)).alias("next_state")
     )
-    last = latest(stepped, ["code", "code_before"])
-    cut = next_state_cut(tokenize(F.col("code_before")), tokenize(F.col("code")), extra)
-    return last.select(*EPISODE_KEY, "code", detokenize(cut).alias("next_state"))
 
 
 def paired_futures(trajectories: DataFrame, extra: int = fixed.NEXT_STATE_TOKENS) -> DataFrame:

@@ -16,10 +16,12 @@ from tracemill.operators.episodes import (
     active_after,
     active_spans,
     character_totals,
+    code_print,
     cycle_of,
     decided_cycles,
     graded_by,
     latest,
+    of_phase,
 )
 from tracemill.operators.scale import SUM, with_group_values, with_running
 from tracemill.schemas import EPISODE_KEY
@@ -242,16 +244,21 @@ def implicit_acceptance(trajectories: DataFrame, infos: DataFrame) -> DataFrame:
 
     A cycle without an active episode has a NULL rate.
     """
-    retyped = (
-        (F.col("action") != "accept")
-        & F.startswith("code_after", "suggestion")
-        & (F.length("suggestion") > F.length("code_before"))
+    # What is left of a suggestion is a print of it: an append is compared with it where its own code is.
+    keys = [*EPISODE_KEY, "cycle"]
+    suggestion = F.col("suggested_completion")
+    shown = of_phase(
+        trajectories,
+        1,
+        code_print(suggestion).alias("_print"),
+        (F.length(suggestion) > F.length("code")).alias("_longer"),
     )
-    # The texts are compared here, so that only a flag goes on to the join.
-    flagged = decided_cycles(trajectories, infos).select(
-        *EPISODE_KEY, "cycle", "stop_step", "appended", F.coalesce(retyped, F.lit(False)).alias("retyped")
-    )
-    return active_after(flagged).groupBy("cycle").agg(
+    start = F.substring(F.col("code"), F.lit(1), F.col("_print.size"))
+    appended = of_phase(trajectories, 0, "code").join(shown, keys, "left")
+    starts = appended.select(*keys, (F.col("_longer") & (code_print(start) == F.col("_print"))).alias("_starts"))
+    flagged = decided_cycles(trajectories, infos).join(starts, keys, "left")
+    retyped = F.coalesce((F.col("action") != "accept") & F.col("_starts"), F.lit(False))
+    return active_after(flagged.withColumn("retyped", retyped)).groupBy("cycle").agg(
         F.avg(F.when(F.col("active"), F.col("retyped").cast("double"))).alias("implicit_acceptance_rate")
     )
 

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from tracemill import fixed_values as fixed
 from tracemill.functions.arrays import head
 from tracemill.functions.prompts import assistant_prompt, render_chat
+from tracemill.functions.segments import item_lists
 from tracemill.functions.tokens import kept_by_offset, mask_labels, offset_spans, ones, right_pad, tokenize
 from tracemill.operators.examples import drop_throwouts, of_length, with_labels
-from tracemill.operators.vocabulary import Lookup, encode, fits_broadcast, item_lists
+from tracemill.operators.vocabulary import Lookup, encode, fits_broadcast
 
 RESPONSE, TEMPLATE = "assistant_prompt_response", "chat_template_state"
 LABELLED = "struct<ids: array<int>, labels: array<int>, start: int>"

@@ -11,18 +11,14 @@ from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import tracemill
+from tracemill.functions.segments import item_lists
 from tracemill.functions.tokens import detokenize
 from tracemill.operators.scale import global_rank, salted_join
 
-# Workers get this package's functions by value and need no copy of it.
-cloudpickle.register_pickle_by_value(tracemill)
-
 # A vocabulary measured to stay under this size is broadcast whole.
 BROADCAST_BYTES = 64 << 20
 ROW_BYTES = 64
@@ -51,13 +47,6 @@ def fits_broadcast(vocabulary: DataFrame) -> bool:
     return vocabulary.agg(size.alias("size")).first()["size"] <= BROADCAST_BYTES
 
 
-def item_lists(lists: pa.ListArray) -> tuple[pa.Array, pa.Array]:
-    """The items of all lists in one array, and the offsets of the lists in it; a null list is empty."""
-    offsets = lists.offsets
-    first, last = offsets[0].as_py(), offsets[-1].as_py()
-    return lists.values.slice(first, last - first), pc.subtract(offsets, first)
-
-
 def _held(vocabulary: DataFrame) -> Callable[[], pa.Table]:
     """The vocabulary as a broadcast Arrow table, opened in place by every task; measure it first."""
     table = vocabulary.select("token", "token_id").toArrow().combine_chunks()
