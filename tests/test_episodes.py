@@ -165,3 +165,21 @@ def test_enrichment_keeps_every_episode(spark):
     infos = spark.createDataFrame([("r", 1, 0, 2, "accept")], "run_id string, episode_id long, future int, step int, action string")
     rows = sorted(tuple(r) for r in episodes.enrich_problems(trajectories, infos).collect())
     assert rows == [("r", 1, "s```", "code3", True), ("r", 2, "s```", "code1", None), ("r", 3, None, "code0", None)]
+
+
+def test_datasets_keep_their_columns(sample, spark):
+    dataset = spark.createDataFrame(
+        [(0, "q0", "old", [1]), (1, "q1", "old", [2]), (9, "q9", "old", [3])],
+        "episode_id long, question string, code string, input_ids_state array<int>",
+    )
+    rows = {r.episode_id: r for r in episodes.enrich_dataset(dataset, *sample).collect()}
+    assert set(rows[0].asDict()) == {"episode_id", "question", "input_ids_state", "correct_completion", "code", "accepted"}
+    assert (rows[0].question, rows[0].correct_completion, rows[0].code, rows[0].accepted) == ("q0", "ab```", "abc", False)
+    assert rows[1].accepted is True and rows[9].code is None and rows[9].question == "q9"
+    pairs = {r.episode_id: r for r in episodes.pair_dataset(dataset, sample[0]).collect()}
+    assert set(pairs) == {0, 1} and set(pairs[0].asDict()) == {
+        "episode_id", "question", "correct_completion", "next_state", "code",
+    }
+    assert pairs[0].code == ["abc"] and pairs[0].correct_completion == "ab"
+    runs = dataset.withColumn("run_id", F.lit(7))
+    assert episodes.enrich_dataset(runs, *sample).where("code IS NOT NULL").count() == 0

@@ -13,8 +13,12 @@ from tracemill.operators.scale import (
     XOR,
     first_per_key,
     global_rank,
+    heavy_keys,
+    kth_smallest,
     salted_join,
+    skewed_join,
     take_by_hash,
+    take_first,
     with_group_values,
     with_previous,
     with_running,
@@ -124,3 +128,61 @@ def test_head_of_splits(spark):
     assert sorted(r.id for r in taken.where("split = 'test'").collect()) == [0, 4]
     assert taken.where("split = 'train'").count() == 10
     assert curation.head_of_splits(df, "id", 0).count() == 100
+
+
+def test_only_hot_keys_are_spread(spark):
+    hot = spark.range(6000).select(F.lit("hot").alias("key"), F.lit(None).cast("long").alias("part"), F.col("id").alias("row"))
+    even = spark.range(6000).select(F.format_string("k%d", F.col("id") % 3000).alias("key"), (F.col("id") % 2).alias("part"), F.col("id").alias("row"))
+    rows = hot.union(even)
+    lookup = rows.select("key", "part").distinct().where("key <> 'k3'").withColumn("name", F.upper("key"))
+    found = heavy_keys(rows, ["key", "part"])
+    named = rows.select("key", "part").distinct().where(F.array_contains(found, F.xxhash64("key", "part")))
+    assert [r.key for r in named.collect()] == ["hot"]
+    for how in ("inner", "left"):
+        got = skewed_join(rows, lookup, ["key", "part"], found, ["row"], how, salts=8)
+        expected = rows.join(lookup, ["key", "part"], how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, expected.select(got.columns).collect()))
+    assert skewed_join(rows.limit(0), lookup, ["key", "part"], heavy_keys(rows.limit(0), ["key"]), ["row"]).count() == 0
+
+
+def test_a_hot_key_is_spread_over_tasks(spark):
+    """A third of the rows under one key: no task of the join has twice the rows of the median one."""
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 997).alias("key"), F.col("id").alias("row")
+    )
+    lookup = spark.range(-1, 997).select(F.col("id").alias("key"), F.lit("x").alias("name"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        joined = skewed_join(rows, lookup, ["key"], heavy_keys(rows, ["key"]), ["row"], salts=64)
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(sizes) == 30_000 and len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+
+
+def test_kth_smallest(spark):
+    df = spark.range(500).select(
+        F.format_string("%03d", F.col("id") % 100).alias("name"), (F.col("id") / 100).cast("int").alias("part")
+    ).repartition(6)
+    ordered = sorted(tuple(r) for r in df.collect())
+    for count in (1, 2, 137, 499, 500):
+        value = spark.range(1).select(kth_smallest(df, ["name", "part"], F.lit(count)).alias("v")).first().v
+        assert tuple(value) == ordered[count - 1]
+        assert sorted(tuple(r) for r in take_first(df, ["name", "part"], count).collect()) == ordered[:count]
+    # Ties with the last stay; more than there are takes all; none takes none.
+    assert take_first(df, ["name"], 7).count() == 10
+    assert take_first(df, ["name"], 9_999).count() == 500
+    assert take_first(df, ["name"], 0).count() == 0
+    assert take_first(df.limit(0), ["name"], 3).count() == 0
+    wanted = take_first(df, ["part"], 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in wanted.split("Subquery")[0]
+
+
+def test_first_rows_of_values_with_nulls(spark):
+    df = spark.createDataFrame([(None, 1), (2.5, 2), (float("nan"), 3), (-1.0, 4)], "x double, row int")
+    assert sorted(r.row for r in take_first(df, ["x"], 2).collect()) == [1, 4]
+    assert sorted(r.row for r in take_first(df, ["x"], 3).collect()) == [1, 2, 4]

@@ -125,3 +125,42 @@ def test_workers_need_no_package(tmp_path):
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
     assert done.stdout.split() == ["200", "500", "87"]
+
+
+def test_a_rerun_replaces_its_own_run_only(spark, tmp_path):
+    path = str(tmp_path / "runs")
+
+    def publish(run, code, episodes=(1, 2), owner=None):
+        states = spark.createDataFrame(
+            [(owner or run, 0, e, 0, "1", "A", code, None, None) for e in episodes], schemas.TRAJECTORIES
+        )
+        infos = spark.createDataFrame([(run, 0, 1, 2, code, 0.5, "accept", -0.7, {5: -0.7}, "x")], schemas.INFOS)
+        graded = spark.createDataFrame([(e, 1.0) for e in episodes], schemas.RESULTS)
+        sinks.publish_run(spark, path, run, states, infos, graded, {"seed": code})
+
+    def published():
+        states = readers.read_trajectories(spark, path)
+        results = spark.read.json(f"{path}/results")
+        config = spark.read.json(f"{path}/config")
+        return (
+            sorted((r.run_id, r.episode_id, r.code) for r in states.collect()),
+            sorted((r.run_id, r.episode_id) for r in results.collect()),
+            sorted((r.run_id, r.seed) for r in config.collect()),
+            sorted((r.run_id, r.reasoning) for r in readers.read_infos(spark, path).collect()),
+        )
+
+    publish(4, "a")
+    publish(5, "b")
+    first = published()
+    publish(5, "b")
+    assert published() == first
+    publish(4, "c", episodes=(3,))
+    assert published() == (
+        [(4, 3, "c"), (5, 1, "b"), (5, 2, "b")],
+        [(4, 3), (5, 1), (5, 2)],
+        [(4, "c"), (5, "b")],
+        [(4, "c"), (5, "b")],
+    )
+    with pytest.raises(ValueError, match="another run"):
+        publish(4, "d", owner=9)
+    assert published()[2] == [(4, "c"), (5, "b")]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracemill import fixed_values as fixed
 from tracemill.functions.text import difficulty, strip_prefix
 from tracemill.functions.tokens import seeded_hash, seeded_int
-from tracemill.operators.scale import first_per_key, hash_quota, take_by_hash
+from tracemill.operators.scale import first_per_key, hash_quota, take_by_hash, take_first
 from tracemill.schemas import PROBLEM_KEY, PROBLEMS
 
 
@@ -104,11 +104,14 @@ def conform_problems(df: DataFrame) -> DataFrame:
 def head_of_splits(
     df: DataFrame, order: str, train_size: int, test_fraction: float = fixed.TEST_FRACTION
 ) -> DataFrame:
-    """First rows of the train and test splits, other splits whole; a size of 0 keeps everything."""
+    """First rows of the train and test splits, other splits whole; a size of 0 keeps everything.
+
+    ``order`` is unique within a split; rows that tie with the last one stay too.
+    """
     if train_size == 0:
         return df
-    train = df.where(F.col("split") == "train").orderBy(order).limit(train_size)
-    test = df.where(F.col("split") == "test").orderBy(order).limit(int(train_size * test_fraction))
+    train = take_first(df.where(F.col("split") == "train"), [order], train_size)
+    test = take_first(df.where(F.col("split") == "test"), [order], int(train_size * test_fraction))
     others = df.where(~F.coalesce(F.col("split").isin("train", "test"), F.lit(False)))
     return train.unionByName(test).unionByName(others)
 

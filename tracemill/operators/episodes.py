@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tracemill import fixed_values as fixed
 from tracemill.functions.arrays import head, whole_div
 from tracemill.functions.tokens import detokenize, token_count, tokenize
-from tracemill.operators.scale import salted_join, with_group_values, with_previous
+from tracemill.operators.curation import drop_derived
+from tracemill.operators.scale import heavy_keys, skewed_join, with_group_values, with_previous
 from tracemill.schemas import EPISODE_KEY, PROBLEM_KEY
 
 STEP_KEY = (*EPISODE_KEY, "step")
@@ -257,12 +258,9 @@ def audit_table(trajectories: DataFrame, infos: DataFrame, problems: DataFrame)
     )
     after = of_phase(trajectories, 0, F.col("code").alias("code_after"))
     rows = active.join(shown, keys, "left").join(after, keys, "left").join(acceptor_infos(infos, "reasoning"), keys, "left")
-    return salted_join(
-        rows,
-        problems.select(*PROBLEM_KEY, "question_content"),
-        PROBLEM_KEY,
-        spread_on=keys,
-        how="left",
+    hot = heavy_keys(of_phase(trajectories, 1, *PROBLEM_KEY), PROBLEM_KEY)
+    return skewed_join(
+        rows, problems.select(*PROBLEM_KEY, "question_content"), PROBLEM_KEY, hot, spread_on=keys, how="left"
     ).select(
         *keys,
         F.col("question_content").alias("problem"),
@@ -326,6 +324,37 @@ def enrich_problems(trajectories: DataFrame, infos: DataFrame) -> DataFrame:
     return whole.select(*keys, "correct_completion", "code", "accepted")
 
 
+def _dataset_keys(dataset: DataFrame) -> list[str]:
+    return [name for name in ("run_id", "episode_id") if name in dataset.columns]
+
+
+def enrich_dataset(dataset: DataFrame, trajectories: DataFrame, infos: DataFrame) -> DataFrame:
+    """A dataset with the outcome of its episodes, its own columns kept.
+
+    Adds ``correct_completion, code, accepted`` as ``enrich_problems`` gives them,
+    in place of columns of these names. Rows are met by ``episode_id``, and by
+    ``run_id`` where the dataset has one; a row without an episode stays, with nulls.
+    """
+    keys = _dataset_keys(dataset)
+    added = ["correct_completion", "code", "accepted"]
+    made = enrich_problems(trajectories, infos).select(*keys, *added)
+    return dataset.drop(*added).join(made, keys, "left")
+
+
+def pair_dataset(
+    dataset: DataFrame, trajectories: DataFrame, extra: int = fixed.NEXT_STATE_TOKENS
+) -> DataFrame:
+    """A dataset with the next states and final codes of all futures of its episodes.
+
+    Derived columns of the dataset go, its others stay; ``correct_completion,
+    next_state, code`` are those of ``paired_futures``. Rows without an episode go.
+    """
+    keys = _dataset_keys(dataset)
+    added = ["correct_completion", "next_state", "code"]
+    made = paired_futures(trajectories, extra).select(*keys, *added)
+    return drop_derived(dataset).drop(*added).join(made, keys)
+
+
 def next_states(trajectories: DataFrame, extra: int = fixed.NEXT_STATE_TOKENS) -> DataFrame:
     """Per episode: final code, and its tokens up to ``extra`` past the code before the append.
 

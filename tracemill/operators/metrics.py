@@ -266,20 +266,39 @@ def implicit_acceptance(trajectories: DataFrame, infos: DataFrame) -> DataFrame:
 def line_changes(rows: DataFrame, keys: Sequence[str], before: Column, after: Column) -> DataFrame:
     """Lines added and removed between two texts of a row, as multiset differences.
 
-    Lines are counted with a sign, so equal lines cancel in the partial counts
-    of the task that read the row and only net counts travel.
+    All lines of both texts, signed, are put in order inside the row; equal lines
+    are then neighbours and one fold counts what is left of each. Nothing is
+    shuffled. A row with a missing text has no changes.
     """
     signed = F.concat(
         F.transform(lines(before), lambda line: F.struct(line.alias("line"), F.lit(-1).alias("sign"))),
         F.transform(lines(after), lambda line: F.struct(line.alias("line"), F.lit(1).alias("sign"))),
     )
-    per_line = (
-        rows.select(*keys, F.explode_outer(signed).alias("_item"))
-        .select(*keys, F.col("_item.line").alias("_line"), F.coalesce("_item.sign", F.lit(0)).alias("_sign"))
-        .groupBy(*keys, "_line")
-        .agg(F.sum("_sign").alias("_net"))
-    )
-    return per_line.groupBy(*keys).agg(
-        F.sum(F.greatest("_net", F.lit(0))).alias("added_lines"),
-        F.sum(F.greatest(-F.col("_net"), F.lit(0))).alias("removed_lines"),
+    none = F.lit(0).cast("long")
+
+    def state(line: Column, net: Column, added: Column, removed: Column) -> Column:
+        return F.struct(line.alias("line"), net.alias("net"), added.alias("added"), removed.alias("removed"))
+
+    def step(seen: Column, item: Column) -> Column:
+        sign = item["sign"].cast("long")
+        return F.when(
+            item["line"] == seen["line"], state(seen["line"], seen["net"] + sign, seen["added"], seen["removed"])
+        ).otherwise(
+            state(
+                item["line"],
+                sign,
+                seen["added"] + F.greatest(seen["net"], none),
+                seen["removed"] + F.greatest(-seen["net"], none),
+            )
+        )
+
+    folded = F.aggregate(
+        F.coalesce(F.sort_array(signed), F.array().cast("array<struct<line:string,sign:int>>")),
+        state(F.lit(None).cast("string"), none, none, none),
+        step,
+        lambda seen: F.struct(
+            (seen["added"] + F.greatest(seen["net"], none)).alias("added_lines"),
+            (seen["removed"] + F.greatest(-seen["net"], none)).alias("removed_lines"),
+        ),
     )
+    return rows.select(*keys, folded.alias("_changes")).select(*keys, "_changes.*")

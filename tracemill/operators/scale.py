@@ -21,6 +21,8 @@ from tracemill.session import use_shared_checkpoints
 BLOCK = 1024
 SALTS = 32
 HASH_PREFIX = 4
+#: A key with this share of the rows is spread over several tasks.
+HOT_SHARE = 1 / 500
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -157,6 +159,90 @@ def salted_join(
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> Column:
+    """The hashes of all keys that hold at least ``share`` of the rows, as an array to compare with.
+
+    Found by a frequent-items sketch of bounded size, merged from all tasks: it
+    may name a key that is a little rarer, but misses none that is as frequent.
+    """
+    most = int(1 / share)
+    keyed = df.select(F.xxhash64(*keys).alias("key"))
+    # The sketch's counts may be short by this part of the share; entries near it are named to be safe.
+    tracked = 8 * most
+    found = keyed.agg(
+        F.expr(f"approx_top_k(key, {2 * most}, {tracked})").alias("top"), F.count("*").alias("rows")
+    )
+    heavy = F.transform(F.filter("top", lambda x: x["count"] >= F.col("rows") * share / 2), lambda x: x["item"])
+    return found.select(F.coalesce(heavy, F.array().cast("array<bigint>"))).scalar()
+
+
+def skewed_join(
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    hot: Column,
+    spread_on: Sequence[str],
+    how: str = "inner",
+    salts: int = SALTS,
+) -> DataFrame:
+    """Join rows to a lookup, spreading only the keys found to be hot (``heavy_keys``).
+
+    All other keys join plainly and are copied nowhere. The copies of a hot key
+    are one lookup row each; whether the lookup is broadcast is left to the size
+    Spark measures as it runs.
+    """
+    is_hot = F.array_contains(hot, F.xxhash64(*keys))
+    salt = F.when(is_hot, F.pmod(F.hash(*spread_on), F.lit(salts))).otherwise(0)
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = lookup.withColumn("_salt", F.explode(copies))
+    return rows.withColumn("_salt", salt).join(copied, [*keys, "_salt"], how).drop("_salt")
+
+
+def kth_smallest(df: DataFrame, order: Sequence[str], count: Column) -> Column:
+    """The ``count``-th smallest value of ``order``, as a struct to compare with; null if there are fewer rows.
+
+    ``order`` is any orderable columns. Their values are counted by range, which
+    shows the one range that holds the value, and only that range is put in order.
+    ``count`` may use ``total``, the number of rows.
+    """
+    use_shared_checkpoints(df.sparkSession)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.struct(*[F.col(name).alias(f"v{i}") for i, name in enumerate(order)])
+    values = df.select(place.alias("place")).groupBy("place").agg(F.count("*").alias("rows"))
+    # The ranges are kept, so that counting and ordering speak of the same ones.
+    dealt = values.repartitionByRange(partitions, "place").withColumn("part", F.spark_partition_id()).checkpoint()
+    sizes = dealt.groupBy("part").agg(F.sum("rows").alias("size"))
+    running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edge = (
+        sizes.select("part", "size", F.sum("size").over(running).alias("upto"), F.sum("size").over(whole).alias("total"))
+        .withColumn("wanted", count.cast("long"))
+        .where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("size") < F.col("wanted")))
+        .select("part", (F.col("wanted") - F.col("upto") + F.col("size")).alias("rest"))
+    )
+    within = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = (
+        dealt.join(F.broadcast(edge), "part")
+        .select("place", "rest", "rows", F.sum("rows").over(within).alias("upto"))
+        .where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("rows") < F.col("rest")))
+    )
+    return found.select("place").scalar()
+
+
+def take_first(df: DataFrame, order: Sequence[str], count: int) -> DataFrame:
+    """The first ``count`` rows in ``order``; rows that tie with the last of them stay too.
+
+    Rows are compared with one value where they are: none is shuffled, and no
+    task holds all that are taken.
+    """
+    if count <= 0:
+        return df.limit(0)
+    # Fewer rows than asked for: the last of all is the edge.
+    edge = kth_smallest(df, order, F.least(F.lit(count), F.col("total")))
+    place = F.struct(*[F.col(name).alias(f"v{i}") for i, name in enumerate(order)])
+    return df.where(place <= edge)
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Keep the row with the lowest ``order`` (unique) for each key; NULL keys are equal.
 

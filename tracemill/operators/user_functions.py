@@ -57,10 +57,14 @@ def generate(
     prompt: str,
     output: str,
     function: Callable[[list[str]], list[str]],
-    clients: int,
+    clients: int | None = None,
     attempts: int = fixed.GENERATION_ATTEMPTS,
 ) -> DataFrame:
-    """Call ``function`` on batches of prompts from ``clients`` partitions, retrying a failed batch."""
+    """Call ``function`` on batches of prompts from ``clients`` partitions, retrying a failed batch.
+
+    Without a number there are as many clients as the cluster has cores, so calls grow with it.
+    """
+    clients = clients or df.sparkSession.sparkContext.defaultParallelism
     schema = T.StructType([*df.schema.fields, T.StructField(output, T.StringType())])
 
     def call(prompts: list[str]) -> list[str]:

@@ -71,4 +71,4 @@ def last_words(prompts: list[str]) -> list[str]:
 )
 def generate(spark, sf):
     turns = views.table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    return user_functions.generate(turns, "text", "answer", last_words, clients=4).drop("text")
+    return user_functions.generate(turns, "text", "answer", last_words).drop("text")

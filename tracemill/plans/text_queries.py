@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracemill import fixed_values as fixed
 from tracemill.functions import prompts, text
 from tracemill.operators import metrics
-from tracemill.operators.scale import salted_join
+from tracemill.operators.scale import heavy_keys, skewed_join
 from tracemill.plans import views
 from tracemill.plans.registry import query
 from tracemill.plans.sql_views import fill_sql, quote
@@ -247,7 +247,8 @@ def acceptor_prompt(spark, sf):
     reasons = views.infos(spark, sf).select(*EPISODE_KEY, (F.col("step") - 1).alias("step"), "reasoning")
     shown = steps.join(line_changes(spark, sf), keys).join(reasons, keys)
     problems = views.problems(spark, sf).select(*PROBLEM_KEY, "question_content", "starter_code")
-    rows = salted_join(shown, problems, PROBLEM_KEY, spread_on=keys)
+    hot = heavy_keys(steps, PROBLEM_KEY)
+    rows = skewed_join(shown, problems, PROBLEM_KEY, hot, spread_on=keys)
     change = prompts.change_summary(F.col("added_lines"), F.col("removed_lines"))
     parts = [F.col(name) for name in ("question_content", "starter_code", "code", "suggested_completion")]
     return rows.select(

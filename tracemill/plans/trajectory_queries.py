@@ -358,6 +358,23 @@ def enrich_problems(spark, sf):
     return episodes.enrich_problems(views.trajectories(spark, sf), views.infos(spark, sf))
 
 
+@query(
+    "enriched_dataset_j5",
+    f"""SELECT d.doc_id AS episode_id, d.lang, d.n_chars, s.suggested_completion || '```' AS correct_completion, l.code,
+               a.action = 'accept' AS accepted
+        FROM documents d
+        LEFT JOIN (SELECT * FROM v_traj QUALIFY row_number() OVER (PARTITION BY {KEYS} ORDER BY step DESC) = 1) l
+          ON l.episode_id = d.doc_id
+        LEFT JOIN v_traj s ON s.episode_id = d.doc_id AND s.step = 1
+        LEFT JOIN v_actions a ON a.episode_id = d.doc_id AND a.step = 2""",
+)
+def enriched_dataset(spark, sf):
+    """Documents as the dataset that episodes were rolled out on; what has no episode stays."""
+    return episodes.enrich_dataset(
+        views.dataset(spark, sf), views.trajectories(spark, sf), views.infos(spark, sf)
+    )
+
+
 LAST_TWO = f"""SELECT * FROM (
     SELECT *, lag(code, 1) OVER e AS code_1, row_number() OVER (PARTITION BY {KEYS} ORDER BY step DESC) AS back
     FROM v_forked WINDOW e AS (PARTITION BY {KEYS} ORDER BY step)) WHERE back = 1"""
@@ -397,6 +414,29 @@ def paired_futures(spark, sf):
     )
 
 
+@query(
+    "paired_dataset_j7",
+    """SELECT d.doc_id AS episode_id, d.lang, d.n_chars, f.suggested_completion AS correct_completion,
+              string_agg(n.next_state, '|' ORDER BY n.future) AS next_states,
+              string_agg(n.code, '|' ORDER BY n.future) AS codes
+       FROM next_states n
+       JOIN v_forked f ON f.run_id = n.run_id AND f.episode_id = n.episode_id AND f.future = 0 AND f.step = 1
+       JOIN documents d ON d.doc_id = n.episode_id
+       GROUP BY ALL""",
+    last_two=LAST_TWO,
+    next_states=NEXT_STATES,
+)
+def paired_dataset(spark, sf):
+    return episodes.pair_dataset(views.dataset(spark, sf), views.forked_trajectories(spark, sf)).select(
+        "episode_id",
+        "lang",
+        "n_chars",
+        "correct_completion",
+        join_items(F.col("next_state"), "|").alias("next_states"),
+        join_items(F.col("code"), "|").alias("codes"),
+    )
+
+
 @query(
     "human_transition_j8",
     f"""SELECT {KEYS}, step, new_code AS code, NULL::VARCHAR AS suggested_completion, new_code = code AS done

@@ -174,6 +174,13 @@ def graded_payloads(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as rows that episodes were rolled out on, with an old code to be replaced."""
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("episode_id"), "lang", "n_chars", F.lit("old").alias("code")
+    )
+
+
 def infos(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.pmod("conv_id", F.lit(3))
     prob = F.lit(1.0) / (F.length("text") + 1)

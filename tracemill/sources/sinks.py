@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -55,6 +56,39 @@ def write_run(
     spark.createDataFrame([tuple(config.values())], layout).coalesce(1).write.mode(mode).json(f"{path}/config")
 
 
+def publish_run(
+    spark: SparkSession,
+    path: str,
+    run_id: int,
+    trajectories: DataFrame,
+    infos: DataFrame,
+    results: DataFrame,
+    config: dict[str, str],
+) -> None:
+    """Put one run in place of what is published under its id, and leave all other runs alone.
+
+    Every table lies in one folder per run, and only the run's own folders are
+    replaced, so a job that is run again after a failure ends in the same state.
+    Grades and settings carry the run's id like the histories. Rows of another
+    run are an error, found before anything is written. A table without rows
+    leaves what was published for the run as it was; its settings are replaced last.
+    """
+    layout = T.StructType([T.StructField(name, T.StringType()) for name in config])
+    settings = spark.createDataFrame([tuple(config.values())], layout)
+    tables = {"trajectories": trajectories, "infos": infos, "results": results, "config": settings.coalesce(1)}
+    for name, df in tables.items():
+        if "run_id" not in df.columns:
+            tables[name] = df.withColumn("run_id", F.lit(run_id).cast("long"))
+        elif not df.where(~F.col("run_id").eqNullSafe(F.lit(run_id))).isEmpty():
+            raise ValueError(f"{name} holds rows of another run than {run_id}")
+    for name, df in tables.items():
+        writer = df.write.mode("overwrite").partitionBy("run_id").option("partitionOverwriteMode", "dynamic")
+        if name in ("results", "config"):
+            writer.option("ignoreNullFields", False).json(f"{path}/{name}")
+        else:
+            writer.parquet(f"{path}/{name}")
+
+
 def unless_derived(name: str, suffix: str, build: Callable[[], DataFrame]) -> DataFrame | None:
     """Build a derived table unless ``name`` already is one; no plan is made then."""
     return None if name.endswith(suffix) else build()
