@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill import fixed_values as fixed
-from tracemill.functions.arrays import join_items
+from tracemill.functions.arrays import join_items, whole_div
 from tracemill.functions.tokens import (
     agreement_cut,
     append_sampled_ids,
@@ -209,11 +209,12 @@ PROBS = """SELECT example_id, pos + 1 AS pos, next_id AS token_id,
     "next_token_prob_t4",
     """SELECT p.example_id, p.pos, token_id, round(prob, 6) AS prob FROM probs p
        JOIN (SELECT example_id, count(*) AS n FROM v_logits GROUP BY example_id) USING (example_id)
-       WHERE p.pos >= n - 5""",
+       WHERE p.pos >= n // 3""",
     probs=PROBS,
 )
 def next_token_prob(spark, sf):
-    """Probabilities of the last five tokens of each sequence of logits."""
+    """Probabilities of each sequence's tokens past its state, which is its first third."""
     rows = views.logits(spark, sf)
-    lengths = rows.groupBy("example_id").agg(F.count("*").alias("n_tokens")).withColumn("remaining", F.lit(5))
+    lengths = rows.groupBy("example_id").agg(F.count("*").alias("n_tokens"))
+    lengths = lengths.withColumn("remaining", F.col("n_tokens") - whole_div(F.col("n_tokens"), 3))
     return round_all(completions.next_token_probabilities(rows, ["example_id"], lengths=lengths))
