@@ -55,10 +55,9 @@ def _labelled_in_row(lookup: Lookup, tokens: Column, cutoff: Column, length: int
     ignored = fixed.IGNORED_LABEL
 
     def label(lists: pa.Array, cutoffs: pa.Array) -> pa.Array:
-        table = opened()
+        held = opened()
         items, offsets = item_lists(lists)
-        places = pc.index_in(items, table.column("token").combine_chunks())
-        known = pc.take(table.column("token_id").combine_chunks(), places)
+        known = pc.take(held.token_ids, held.token_places(items))
         sizes = np.diff(offsets.to_numpy())
         # Ends of all tokens counted through the batch, less where their own text begins.
         ends = np.concatenate([[0], np.cumsum(pc.utf8_length(items).to_numpy(zero_copy_only=False))])

@@ -7,8 +7,11 @@ gathering. A larger one is met by join.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -47,16 +50,51 @@ def fits_broadcast(vocabulary: DataFrame) -> bool:
     return vocabulary.agg(size.alias("size")).first()["size"] <= BROADCAST_BYTES
 
 
-def _held(vocabulary: DataFrame) -> Callable[[], pa.Table]:
-    """The vocabulary as a broadcast Arrow table, opened in place by every task; measure it first."""
+class Held:
+    """A vocabulary opened in a worker: its columns, and hash indexes on both, built once."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.tokens = table.column("token").combine_chunks()
+        self.token_ids = table.column("token_id").combine_chunks()
+        self._by_token = pd.Index(self.tokens.to_numpy(zero_copy_only=False), dtype=object)
+        self._by_id = pd.Index(self.token_ids.to_numpy(zero_copy_only=False))
+
+    @staticmethod
+    def _places(index: pd.Index, items: pa.Array, values: np.ndarray) -> pa.Array:
+        found = index.get_indexer(values) if len(items) else np.empty(0, np.int64)
+        missing = found < 0
+        if items.null_count:
+            missing |= items.is_null().to_numpy(zero_copy_only=False)
+        return pa.array(found, pa.int64(), mask=missing)
+
+    def token_places(self, items: pa.Array) -> pa.Array:
+        """Rows of the vocabulary holding these tokens, null for an unknown or null token."""
+        return self._places(self._by_token, items, items.to_numpy(zero_copy_only=False))
+
+    def id_places(self, items: pa.Array) -> pa.Array:
+        """Rows of the vocabulary holding these ids, null for an unknown or null id."""
+        ids = items.cast(self.token_ids.type)
+        return self._places(self._by_id, ids, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False))
+
+
+# Opened vocabularies of this Python worker, by lookup: read and indexed once,
+# not again for every batch.
+_opened: dict[str, Held] = {}
+
+
+def _held(vocabulary: DataFrame) -> Callable[[], Held]:
+    """The vocabulary as a broadcast Arrow table, opened once per worker; measure it first."""
     table = vocabulary.select("token", "token_id").toArrow().combine_chunks()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
     content = vocabulary.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    key = uuid.uuid4().hex
 
-    def opened() -> pa.Table:
-        return pa.ipc.open_stream(content.value).read_all().combine_chunks()
+    def opened() -> Held:
+        if key not in _opened:
+            _opened[key] = Held(pa.ipc.open_stream(content.value).read_all())
+        return _opened[key]
 
     return opened
 
@@ -73,10 +111,9 @@ class Lookup:
         opened = self._open
 
         def look_up(lists: pa.Array) -> pa.Array:
-            table = opened()
+            held = opened()
             items, offsets = item_lists(lists)
-            places = pc.index_in(items, table.column("token").combine_chunks())
-            return pa.ListArray.from_arrays(offsets, pc.take(table.column("token_id").combine_chunks(), places))
+            return pa.ListArray.from_arrays(offsets, pc.take(held.token_ids, held.token_places(items)))
 
         return F.arrow_udf(look_up, T.ArrayType(self._id_type))(tokens)
 
@@ -85,11 +122,9 @@ class Lookup:
         opened = self._open
 
         def look_up(lists: pa.Array) -> pa.Array:
-            table = opened()
+            held = opened()
             items, offsets = item_lists(lists)
-            known = table.column("token_id").combine_chunks()
-            places = pc.index_in(items.cast(known.type), known)
-            tokens = pc.fill_null(pc.take(table.column("token").combine_chunks(), places), "")
+            tokens = pc.fill_null(pc.take(held.tokens, held.id_places(items)), "")
             return pc.binary_join(pa.ListArray.from_arrays(offsets, tokens), "")
 
         return F.arrow_udf(look_up, "string")(ids)
