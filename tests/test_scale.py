@@ -84,6 +84,18 @@ def test_salted_join(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
 
 
+def test_kept_table_is_smaller_than_a_checkpoint(spark):
+    import os
+
+    from tracemill.operators.scale import kept_table
+
+    df = spark.range(100_000, numPartitions=2).withColumn("name", F.concat(F.lit("some token "), F.col("id") % 100))
+    kept = kept_table(df)
+    files = [path.removeprefix("file:") for path in kept.inputFiles()]
+    assert sum(os.path.getsize(path) for path in files) < 16 * df.count()
+    assert kept.count() == 100_000 and not kept.exceptAll(df).count()
+
+
 def test_global_rank(spark):
     df = rows_with_a_hot_key(spark)
     ranked = global_rank(df, [F.desc("value"), F.asc("key"), F.asc("pos")], "rank").collect()

@@ -66,6 +66,22 @@ def test_against_a_plain_construction(spark, monkeypatch, limit):
     assert training.training_table(rows.limit(0), known, ["doc_id"], 9, LENGTH).count() == 0
 
 
+@pytest.mark.parametrize("own_texts", [True, False])
+def test_rare_tokens_meet_by_join_and_texts_stay(spark, monkeypatch, own_texts):
+    """Past the broadcast size: rows of repeated and null keys come back one for one, and no text is shuffled."""
+    rows = [(key, *row[1:]) for key, row in zip([1, 1, None, None, 5, 5, 7, 8], ROWS)] + [(None, *ROWS[0][1:])]
+    df = spark.createDataFrame(rows, "doc_id long, state string, correct_completion string, extra string")
+    rows = training.format_examples(df)
+    known = vocabulary.build_vocabulary(training.response_tokens(rows))
+    want = training.tokenize_examples(rows, known, ["doc_id"], 9, LENGTH).drop(training.TEMPLATE, training.RESPONSE)
+    monkeypatch.setattr(vocabulary, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(vocabulary, "HEAD_RANKS", 20)
+    got = training.tokenize_examples(rows, known, ["doc_id"], 9, LENGTH, own_texts)
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    plan = got.select("throwout", "labels")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") and not any(training.RESPONSE in x for x in plan.split("\n") if "Exchange" in x)
+
+
 def test_a_missing_completion_is_the_state(spark):
     df = spark.createDataFrame([(1, "x", None)], "doc_id long, state string, correct_completion string")
     row = training.format_examples(df).first()

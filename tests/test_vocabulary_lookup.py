@@ -15,6 +15,14 @@ def test_opened_once_per_worker(spark):
     assert lookup._open() is lookup._open()
 
 
+def test_a_worker_keeps_few_vocabularies(spark):
+    from tracemill.operators import vocabulary as module
+
+    lookups = [Lookup(vocabulary(spark)) for _ in range(module.OPENED + 3)]
+    opened = [lookup._open() for lookup in lookups]
+    assert len(module._opened) <= module.OPENED and lookups[-1]._open() is opened[-1]
+
+
 def test_ids_and_text_over_many_batches(spark):
     lookup = Lookup(vocabulary(spark))
     rows = [(1, ["a", " ", "b"]), (2, ["cc", "zz", None]), (3, []), (4, None), (5, ["b", "b", "a"])]

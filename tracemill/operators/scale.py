@@ -8,6 +8,7 @@ lookups against a hot key go to salted copies.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
@@ -253,12 +254,27 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return df.join(winners, order, "left_semi")
 
 
+def kept_table(df: DataFrame) -> DataFrame:
+    """Write a frame beside the checkpoints as compressed columns and read it back: lineage ends here.
+
+    A checkpoint's files hold the rows as they are in memory, several times as
+    large. The table is removed when the session's JVM ends.
+    """
+    spark = df.sparkSession
+    use_shared_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Number all rows from 1 in ``order``, without a single-task window.
 
     Rows are range partitioned and sorted, which fixes each row's place within
     its partition; adding the sizes of earlier partitions gives its rank. The
-    placed rows are checkpointed so that sizes and rows come from one layout.
+    placed rows are kept as a table so that sizes and rows come from one layout.
     """
     use_shared_checkpoints(df.sparkSession)
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -267,8 +283,8 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-        .checkpoint()
     )
+    placed = kept_table(placed)
     # One row per partition of the layout above: bounded by the setting.
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tracemill.functions.segments import item_lists
 from tracemill.functions.tokens import detokenize
-from tracemill.operators.scale import global_rank, salted_join
+from tracemill.operators.scale import global_rank, kept_table, salted_join
 
 # A vocabulary measured to stay under this size is broadcast whole.
 BROADCAST_BYTES = 64 << 20
@@ -41,7 +41,7 @@ def build_vocabulary(tokens: DataFrame, token: str = "token") -> DataFrame:
     counted = tokens.groupBy(F.col(token).alias("token")).agg(F.count("*").alias("frequency"))
     ranked = global_rank(counted, [F.desc("frequency"), F.asc("token")], "token_id")
     # Read many times from here on: kept as a table rather than ranked again.
-    return ranked.withColumn("token_id", F.col("token_id").cast("int")).checkpoint()
+    return kept_table(ranked.withColumn("token_id", F.col("token_id").cast("int")))
 
 
 def fits_broadcast(vocabulary: DataFrame) -> bool:
@@ -80,6 +80,8 @@ class Held:
 # Opened vocabularies of this Python worker, by lookup: read and indexed once,
 # not again for every batch.
 _opened: dict[str, Held] = {}
+#: So many of them at most: a worker outlives the queries it serves.
+OPENED = 2
 
 
 def _held(vocabulary: DataFrame) -> Callable[[], Held]:
@@ -93,6 +95,8 @@ def _held(vocabulary: DataFrame) -> Callable[[], Held]:
 
     def opened() -> Held:
         if key not in _opened:
+            while len(_opened) >= OPENED:
+                del _opened[next(iter(_opened))]
             _opened[key] = Held(pa.ipc.open_stream(content.value).read_all())
         return _opened[key]
 
@@ -130,19 +134,24 @@ class Lookup:
         return F.arrow_udf(look_up, "string")(ids)
 
 
+def head_and_tail(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``token, token_id`` of the frequent entries, few enough to broadcast, and of all others."""
+    entries = vocabulary.select("token", "token_id")
+    is_head = (F.col("token_id") <= HEAD_RANKS) & (F.length("token") <= HEAD_TOKEN_CHARS)
+    return entries.where(is_head), entries.where(~is_head)
+
+
 def _look_up(items: DataFrame, keys: Sequence[str], vocabulary: DataFrame, by: str, own_texts: bool) -> DataFrame:
     """Left join items to a vocabulary past the broadcast size, on ``token`` or ``token_id``.
 
     Frequent entries are still met by broadcast and only the long tail is joined
     by shuffle.
     """
-    entries = vocabulary.select("token", "token_id")
-    is_head = (F.col("token_id") <= HEAD_RANKS) & (F.length("token") <= HEAD_TOKEN_CHARS)
-    frequent = F.broadcast(entries.where(is_head))
+    head, tail = head_and_tail(vocabulary)
+    frequent = F.broadcast(head)
     found = F.col("token_id" if by == "token" else "token").isNotNull()
     near = items.join(frequent, by, "left").where(found | F.col(by).isNull())
     far = items.where(F.col(by).isNotNull()).join(frequent, by, "left_anti")
-    tail = entries.where(~is_head)
     if own_texts:
         return near.unionByName(far.join(tail, by, "left"))
     return near.unionByName(salted_join(far, tail, [by], [*keys, "_pos"], "left", TAIL_SALTS))
