@@ -61,7 +61,7 @@ def formatted(spark, sf):
 def training_table(spark, sf):
     """Documents to rows of 512 tokens; states that fill those are thrown out."""
     rows, vocabulary = formatted(spark, sf)
-    made = training.training_table(rows, vocabulary, ["doc_id"], PAD_ID, TRAINING_LENGTH)
+    made = training.training_table(rows, vocabulary, ["doc_id"], PAD_ID, TRAINING_LENGTH, own_texts=True)
     arrays = ("input_ids", "labels", "attention_mask")
     return made.select("doc_id", "lang", "state", *[join_items(F.col(name)).alias(name) for name in arrays])
 
@@ -78,7 +78,7 @@ def training_table(spark, sf):
 def throwouts(spark, sf):
     """All examples with their tokens within the length, and whether they are to be thrown out."""
     rows, vocabulary = formatted(spark, sf)
-    made = training.tokenize_examples(rows, vocabulary, ["doc_id"], PAD_ID, TRAINING_LENGTH)
+    made = training.tokenize_examples(rows, vocabulary, ["doc_id"], PAD_ID, TRAINING_LENGTH, own_texts=True)
     used = F.size(F.filter("attention_mask", lambda x: x == 1))
     return made.select("doc_id", used.alias("n_tokens"), "throwout")
 
