@@ -45,3 +45,24 @@ def test_stages(spark_llm):
 def test_run(spark_llm):
     out = corpus_pipeline.run(spark_llm, FOLDER)
     assert out.count() > 0 and "ids_crc32" in out.columns
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark_llm):
+    import glob
+    import os
+    import time
+
+    local = spark_llm._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+
+    def held():
+        return sum(os.path.getsize(path) for folder in local for path in glob.glob(f"{folder}/*/shuffle_*.data"))
+
+    before = held()
+    dealt = spark_llm.range(300_000).repartition(4, "id")
+    assert stage(dealt, "dealt").count() == stage(dealt, "dealt").count() == 300_000
+    # Files go in the background.
+    for _ in range(100):
+        if held() <= before + 1_000_000:
+            break
+        time.sleep(0.1)
+    assert held() <= before + 1_000_000
